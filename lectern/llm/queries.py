@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from lectern.llm.embedding_dedup import op8_embedding_dedup
+from lectern.llm.pieces import op7_sentencepiece
 from lectern.llm.toxicity import op9_toxicity
 
 QUERIES = {
+    "op7_sentencepiece": op7_sentencepiece,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_toxicity": op9_toxicity,
 }
 

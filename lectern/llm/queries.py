@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lectern.llm.embedding_dedup import op8_embedding_dedup
+from lectern.llm.jaccard_join import op10_jaccard_join
 from lectern.llm.pieces import op7_sentencepiece
 from lectern.llm.toxicity import op9_toxicity
 
@@ -10,6 +11,7 @@ QUERIES = {
     "op7_sentencepiece": op7_sentencepiece,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 #: Only what SQL can express; the others are tested against brute force, held-out accuracy or a round trip.

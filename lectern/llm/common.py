@@ -137,6 +137,45 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of n nodes that each reaches over the edges a-b, within a task."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        nxt = label.copy()
+        np.minimum.at(nxt, a, low)
+        np.minimum.at(nxt, b, low)
+        nxt = nxt[nxt]
+        if (nxt == label).all():
+            return label
+        label = nxt
+
+
+def complete_groups(batches, keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by keys; a group that a batch cuts is held for the next."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        held = pa.concat_tables([held, now]) if held is not None else now
+        last = group_starts(held, keys)[-1]
+        if last:
+            yield held.slice(0, last).combine_chunks()
+            held = held.slice(last)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def group_starts(part: pa.Table, keys: list[str]) -> np.ndarray:
+    new = np.zeros(part.num_rows, bool)
+    new[:1] = True
+    for c in keys:
+        x = np.asarray(part[c])
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
 def connected_components(spark: SparkSession, edges: DataFrame, tag: str = "cc") -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b).
 

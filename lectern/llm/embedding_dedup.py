@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import connected_components, save, shuffle_width, table
+from lectern.llm.common import complete_groups, connected_components, group_starts, local_roots, save, shuffle_width, table
 
 RECALL = 0.998
 BLOCK = 1024
@@ -45,20 +45,6 @@ def _vectors(column) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest node that each of n nodes reaches over the edges a-b."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        nxt = label.copy()
-        np.minimum.at(nxt, a, low)
-        np.minimum.at(nxt, b, low)
-        nxt = nxt[nxt]
-        if (nxt == label).all():
-            return label
-        label = nxt
-
-
 def _linked(ids, counts, codes, tables, x, group, first, threshold):
     """Links of the rows of complete groups: rows (id, links, root). group: run number of each row; first: rows of the lower part."""
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -89,7 +75,7 @@ def _linked(ids, counts, codes, tables, x, group, first, threshold):
         i = j
     if not left:
         return None
-    root = _roots(len(ids), np.concatenate(left), np.concatenate(right))
+    root = local_roots(len(ids), np.concatenate(left), np.concatenate(right))
     some = links > 0
     return ids[some], links[some], ids[root[some]]
 
@@ -143,37 +129,21 @@ def link(embeddings: DataFrame, threshold: float = 0.95, recall: float = RECALL,
     dealt = placed.repartition(width, "d", "t", "code", "i", "j").sortWithinPartitions("d", "t", "code", "i", "j")
 
     def compared(batches):
-        def done(part: pa.Table):
-            key = np.stack([np.asarray(part[c]).astype(np.int64) for c in ("d", "t", "code", "i", "j")], 1)
-            new = np.concatenate([[True], (key[1:] != key[:-1]).any(1)])
+        for part in complete_groups(batches, ["d", "t", "code", "i", "j"]):
+            new = np.zeros(part.num_rows, np.int64)
+            new[group_starts(part, ["d", "t", "code", "i", "j"])] = 1
             group = np.cumsum(new) - 1
+            size, t, i, j = (np.asarray(part[c]).astype(np.int64) for c in ("d", "t", "i", "j"))
             # rows of a part met with itself are all "low"; tables < 0 marks groups of two unlike parts
-            tables_ = np.where(key[:, 3] == key[:, 4], key[:, 1] + 1, -(key[:, 1] + 1))
-            low = np.asarray(part["low"].combine_chunks().to_numpy(zero_copy_only=False)).astype(bool)
-            for d in np.unique(key[:, 0]):
-                at = np.flatnonzero(key[:, 0] == d)
+            signed_table = np.where(i == j, t + 1, -(t + 1))
+            low = part["low"].combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
+            for d in np.unique(size):
+                at = np.flatnonzero(size == d)
                 sub = part.take(pa.array(at))
-                found = _linked(np.asarray(sub["rep"]), np.asarray(sub["n"]), _vectors(sub["codes"]).astype(np.int64), tables_[at], _vectors(sub["embedding"]), group[at] - group[at[0]], low[at], threshold)
+                found = _linked(np.asarray(sub["rep"]), np.asarray(sub["n"]), _vectors(sub["codes"]).astype(np.int64), signed_table[at], _vectors(sub["embedding"]), group[at] - group[at[0]], low[at], threshold)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["rep", "links", "root"])
 
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = pa.Table.from_batches([batch])
-            held = pa.concat_tables([held, now]) if held is not None else now
-            key = [np.asarray(held[c]) for c in ("d", "t", "code", "i", "j")]
-            change = np.zeros(held.num_rows, bool)
-            for c in key:
-                change[1:] |= c[1:] != c[:-1]
-            last = np.flatnonzero(change)
-            if len(last):
-                yield from done(held.slice(0, last[-1]))
-                held = held.slice(last[-1])
-        if held is not None and held.num_rows:
-            yield from done(held)
-
     found = save(spark, dealt.mapInArrow(compared, "rep long, links long, root long"), "links")
     components = connected_components(spark, found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "vectors")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -35,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import connected_components, lower_ascii, mix, prefix_hash, save, shuffle_width, signed, slices, span_hash, table, text_bytes, word_spans
+from lectern.llm.common import complete_groups, connected_components, group_starts, local_roots, lower_ascii, mix, prefix_hash, save, shuffle_width, signed, slices, span_hash, table, text_bytes, word_spans
 
 WORD = np.ones(256, bool)
 WORD[[0x20, *range(0x09, 0x0E)]] = False
 _LOW48 = np.uint64((1 << 48) - 1)
 _FLUSH = 1_500_000
+#: Sets of a block that one task compares with another block.
+BLOCK = 256
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int, is_word: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +104,7 @@ def set_table(documents: DataFrame, size: int) -> DataFrame:
 def _pack(tokens, index, sets, sizes, classes=None) -> bytes:
     """One payload: the sets it names, and 6-byte tokens with their set's place among these."""
     head = np.array([len(sets), len(tokens)], np.int64).tobytes()
-    body = [head, sets.tobytes(), sizes.astype(np.int32).tobytes(), index.astype(np.int32).tobytes(), (tokens >> np.uint64(32)).astype(np.uint16).tobytes(), tokens.astype(np.uint32).tobytes()]
+    body = [head, sets.tobytes(), sizes.astype(np.int32).tobytes(), index.astype(np.uint16 if len(sets) <= 65536 else np.int32).tobytes(), (tokens >> np.uint64(32)).astype(np.uint16).tobytes(), tokens.astype(np.uint32).tobytes()]
     return b"".join(body + ([classes.astype(np.uint8).tobytes()] if classes is not None else []))
 
 
@@ -113,7 +115,7 @@ def _unpack(payloads, classes: bool = False):
         s, n = np.frombuffer(x, np.int64, 2)
         at = 16
         parts = []
-        for kind, length in ((np.int64, s), (np.int32, s), (np.int32, n), (np.uint16, n), (np.uint32, n), *([(np.uint8, n)] if classes else [])):
+        for kind, length in ((np.int64, s), (np.int32, s), (np.uint16 if s <= 65536 else np.int32, n), (np.uint16, n), (np.uint32, n), *([(np.uint8, n)] if classes else [])):
             parts.append(np.frombuffer(x, kind, length, at))
             at += parts[-1].nbytes
         sets.append(parts[0])
@@ -150,7 +152,7 @@ def active_sets(documents: DataFrame, size: int, percent: int) -> DataFrame:
     prefix: tokens of the beginning; rest: how many tokens the set has behind it.
     """
     spark = documents.sparkSession
-    bits = min(16, max(8, math.ceil(math.log2(8 * shuffle_width(spark)))))
+    bits = min(16, max(6, math.ceil(math.log2(2 * shuffle_width(spark)))))
     shift = np.uint64(48 - bits)
 
     def scatter(batches):
@@ -239,6 +241,77 @@ def _linked(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long")
 
 
+def _opened(qualified: DataFrame, active: DataFrame, placed: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between asking sets and members of the groups opened for them, one star for each linked part.
+
+    Members and asking sets of a group are cut into blocks, and each pair of
+    blocks is compared inside one task: what travels is sets, not pairs.
+    """
+    width = max(8, shuffle_width(qualified.sparkSession))
+    blocks = (
+        qualified.groupBy("grp").agg(F.count("*").alias("asking"))
+        .join(placed.groupBy("grp").agg(F.count("*").alias("members")), "grp")
+        .select("grp", *[F.ceil(F.col(c) / block).cast("int").alias(c) for c in ("asking", "members")])
+    )
+    what = active.select("set_id", "n", "tokens").join(placed.select("set_id", "component", F.col("grp").alias("own")), "set_id")
+    part = lambda c: F.pmod(F.xxhash64("set_id"), F.col(c).cast("long")).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    asks = qualified.join(what.drop("own"), "set_id").join(blocks, "grp").select("grp", part("asking").alias("x"), every("members").alias("y"), F.lit(True).alias("asks"), "set_id", "n", "component", "tokens")
+    members = what.withColumnRenamed("own", "grp").join(blocks, "grp").select("grp", every("asking").alias("x"), part("members").alias("y"), F.lit(False).alias("asks"), "set_id", "n", "component", "tokens")
+    dealt = asks.unionByName(members).repartition(width, "grp", "x", "y").sortWithinPartitions("grp", "x", "y", "asks")
+
+    def compared(batches):
+        for table_ in complete_groups(batches, ["grp", "x", "y"]):
+            starts = np.append(group_starts(table_, ["grp", "x", "y"]), table_.num_rows)
+            ids, n, comp = (np.asarray(table_[c]) for c in ("set_id", "n", "component"))
+            asking = table_["asks"].combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
+            tokens = table_["tokens"].combine_chunks()
+            out_a, out_b = [], []
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                member, ask = np.flatnonzero(~asking[lo:hi]) + lo, np.flatnonzero(asking[lo:hi]) + lo
+                if not len(member) or not len(ask):
+                    continue
+                fits = 100 * np.minimum(n[ask][:, None], n[member]) >= percent * np.maximum(n[ask][:, None], n[member])
+                fits &= (ids[ask][:, None] < ids[member]) & (comp[ask][:, None] != comp[member])
+                a, b = np.nonzero(fits)
+                if not len(a):
+                    continue
+                a, b = ask[a], member[b]
+                both = _overlaps(tokens, a, b)
+                ok = 100 * both >= percent * (n[a] + n[b] - both)
+                if ok.any():
+                    root = local_roots(hi - lo, a[ok] - lo, b[ok] - lo) + lo
+                    moved = np.flatnonzero(root != np.arange(lo, hi)) + lo
+                    out_a.append(ids[moved])
+                    out_b.append(ids[root[moved - lo]])
+            if out_a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+
+    return dealt.mapInArrow(compared, "a long, b long")
+
+
+def _overlaps(tokens: pa.Array, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets at rows a and b."""
+    rows, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+    sets = [np.frombuffer(tokens[int(r)].as_buffer(), np.uint64) for r in rows]
+    if len(a) < 4 * len(rows):
+        out = np.empty(len(a), np.int64)
+        for k, (i, j) in enumerate(zip(where[: len(a)], where[len(a) :])):
+            x, y = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
+            out[k] = (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()
+        return out
+    sizes = [len(x) for x in sets]
+    uniq, index = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(rows)), sizes)
+    total = np.zeros((len(rows), len(rows)), np.float32)
+    for lo in range(0, len(uniq), 8192):  # bounded columns at a time
+        ok = (index >= lo) & (index < lo + 8192)
+        part = np.zeros((len(rows), min(8192, len(uniq) - lo)), np.float32)
+        part[row[ok], index[ok] - lo] = 1
+        total += part @ part.T
+    return total[where[: len(a)], where[len(a) :]].astype(np.int64)
+
+
 def components(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, set_id, component_id): component_id is the smallest doc_id reachable by links."""
     spark = documents.sparkSession
@@ -267,16 +340,7 @@ def components(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         .agg(F.count("*").alias("shared"))
         .where(f"shared + rest >= {need}")
     )
-    opened = (
-        qualified.select(F.col("set_id").alias("a"), "grp", F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-        .join(placed.select(F.col("set_id").alias("b"), "grp", F.col("n").alias("n_b"), F.col("component").alias("c_b")), "grp")
-        .where(f"a < b AND c_a <> c_b AND {fits}")
-        .select("a", "b", "n_a", "n_b")
-    )
-    opened = save(spark, opened, "opened")
-    tokens = active.select("set_id", "tokens")
-    pairs = opened.join(tokens.select(F.col("set_id").alias("a"), F.col("tokens").alias("tokens_a")), "a").join(tokens.select(F.col("set_id").alias("b"), F.col("tokens").alias("tokens_b")), "b")
-    rest = _linked(pairs, percent)
+    rest = _opened(save(spark, qualified.select("set_id", "grp"), "qualified"), active, placed, percent)
     joined = connected_components(spark, first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest), "sets")
     least = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc"))
     whole = least.join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))

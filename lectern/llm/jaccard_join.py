@@ -43,6 +43,8 @@ _LOW48 = np.uint64((1 << 48) - 1)
 _FLUSH = 1_500_000
 #: Sets of a block that one task compares with another block.
 BLOCK = 256
+#: Ids of copies, up to so many, are broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int, is_word: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray]:
@@ -349,5 +351,14 @@ def components(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return sets.join(ids, "set_id", "left").select("doc_id", "n_shingles", "set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_first(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each component, the smallest doc_id, with all its columns; rows with a null id stay."""
+    parts = components(documents, size, percent).groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("first"))
+    gone = save(documents.sparkSession, parts.where("NOT first").select("doc_id"), "copies")
+    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return documents.join(gone, "doc_id", "left_anti").select(documents.columns)
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id")

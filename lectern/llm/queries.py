@@ -5,10 +5,12 @@ from __future__ import annotations
 from lectern.llm.decontamination import op4_decontamination
 from lectern.llm.embedding_dedup import op8_embedding_dedup
 from lectern.llm.jaccard_join import op10_jaccard_join
+from lectern.llm.line_dedup import op1_line_dedup
 from lectern.llm.pieces import op7_sentencepiece
 from lectern.llm.toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op4_decontamination": op4_decontamination,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_embedding_dedup": op8_embedding_dedup,

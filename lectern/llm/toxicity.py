@@ -309,10 +309,21 @@ def _evidence(docs: np.ndarray, post: np.ndarray, lengths: np.ndarray) -> tuple[
     return 1 - np.exp(clean), np.log1p(np.bincount(docs, post, len(lengths)))
 
 
+def _scores(model: Model, seen: np.ndarray, data: np.ndarray, offsets: np.ndarray):
+    """Score of each row; rows, starts, ends and marginals of the words with features."""
+    n = len(offsets) - 1
+    starts, ends, rows, places, lengths, found = _hits(model, seen, data, offsets)
+    post = np.zeros(0)
+    if len(rows):
+        post, _ = forward_backward(rows, places, lengths, _emit(model.weights, model.bias, found), model.bias, model.trans)
+    x = np.stack([np.ones(n), *_evidence(rows, post, lengths)], 1)
+    score = 1 / (1 + np.exp(-(x @ np.array(model.calibration)))) if model.prior > 0 else np.zeros(n)
+    return score, rows, starts, ends, post
+
+
 def tag(documents: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, n_spans, spans): spans as byte offsets [start, end) with marginals, in the order of the text."""
     seen = model.filters()
-    a = np.array(model.calibration)
     schema = "doc_id long, score double, n_spans long, spans array<struct<start:long,end:long,p:double>>"
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
 
@@ -321,23 +332,31 @@ def tag(documents: DataFrame, model: Model) -> DataFrame:
             data, offsets = text_bytes(batch.column(1))
             for i, j in slices(offsets):
                 own = offsets[i : j + 1] - offsets[i]
-                n = j - i
-                starts, ends, rows, places, lengths, found = _hits(model, seen, data[offsets[i] : offsets[j]], own)
-                if len(rows):
-                    post, _ = forward_backward(rows, places, lengths, _emit(model.weights, model.bias, found), model.bias, model.trans)
-                else:
-                    post = np.zeros(0)
-                x = np.stack([np.ones(n), *_evidence(rows, post, lengths)], 1)
-                p = 1 / (1 + np.exp(-(x @ a))) if model.prior > 0 else np.zeros(n)
+                p, rows, starts, ends, post = _scores(model, seen, data[offsets[i] : offsets[j]], own)
                 bad = post >= 0.5
                 rows, starts, ends, post = rows[bad], starts[bad] - own[rows[bad]], ends[bad] - own[rows[bad]], post[bad]
-                bounds = np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)
+                bounds = np.searchsorted(rows, np.arange(j - i + 1)).astype(np.int32)
                 spans = pa.StructArray.from_arrays([pa.array(starts), pa.array(ends), pa.array(post)], fields=list(kind.value_type))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n).cast(pa.int64()), pa.array(p), pa.array(np.diff(bounds).astype(np.int64)), pa.ListArray.from_arrays(pa.array(bounds), spans)], names=["doc_id", "score", "n_spans", "spans"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(p), pa.array(np.diff(bounds).astype(np.int64)), pa.ListArray.from_arrays(pa.array(bounds), spans)], names=["doc_id", "score", "n_spans", "spans"])
 
     return documents.select("doc_id", "text").mapInArrow(score, schema)
 
 
+def keep_clean(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score below the threshold, with all their columns."""
+    seen = model.filters()
+    place = documents.columns.index("text")
+
+    def clean(batches):
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(place))
+            for i, j in slices(offsets):
+                p = _scores(model, seen, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0]
+                yield batch.slice(i, j - i).filter(pa.array(p < threshold))
+
+    return documents.mapInArrow(clean, documents.schema)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = fit(spark, documents, table(spark, sf_dir, "labels"))

@@ -5,13 +5,17 @@ from __future__ import annotations
 from lectern.llm.decontamination import op4_decontamination
 from lectern.llm.embedding_dedup import op8_embedding_dedup
 from lectern.llm.jaccard_join import op10_jaccard_join
+from lectern.llm.language_id import op3_language_id
 from lectern.llm.line_dedup import op1_line_dedup
+from lectern.llm.perplexity import op5_quality
 from lectern.llm.pieces import op7_sentencepiece
 from lectern.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_language_id": op3_language_id,
     "op4_decontamination": op4_decontamination,
+    "op5_quality": op5_quality,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_toxicity": op9_toxicity,

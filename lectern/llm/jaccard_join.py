@@ -156,6 +156,7 @@ def active_sets(documents: DataFrame, size: int, percent: int) -> DataFrame:
     spark = documents.sparkSession
     bits = min(16, max(6, math.ceil(math.log2(2 * shuffle_width(spark)))))
     shift = np.uint64(48 - bits)
+    set_bits = max(5, bits - 3)  # what is left after the first shuffle is less; each bucket writes a payload for each of these
 
     def scatter(batches):
         held, sets, sizes, total, known = [], [], [], 0, set()
@@ -195,7 +196,7 @@ def active_sets(documents: DataFrame, size: int, percent: int) -> DataFrame:
         many = each > 1
         classes = np.minimum(255, np.floor(8 * np.log2(each[many])))
         index = index[many]
-        return _batch(_pieces((mix(ids.view(np.uint64))[index] >> np.uint64(64 - bits)).astype(np.uint16), tokens[many], index, ids, sizes, classes))
+        return _batch(_pieces((mix(ids.view(np.uint64))[index] >> np.uint64(64 - set_bits)).astype(np.uint16), tokens[many], index, ids, sizes, classes))
 
     def gather(group: pa.Table) -> pa.Table:
         ids, sizes, index, tokens, classes = _unpack([x.as_py() for x in group["payload"]], True)

@@ -6,6 +6,7 @@ from lectern.llm.decontamination import op4_decontamination
 from lectern.llm.embedding_dedup import op8_embedding_dedup
 from lectern.llm.jaccard_join import op10_jaccard_join
 from lectern.llm.language_id import op3_language_id
+from lectern.llm.license_scan import op6_license_scan
 from lectern.llm.line_dedup import op1_line_dedup
 from lectern.llm.perplexity import op5_quality
 from lectern.llm.pieces import op7_sentencepiece
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_decontamination": op4_decontamination,
     "op5_quality": op5_quality,
+    "op6_license_scan": op6_license_scan,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_toxicity": op9_toxicity,

@@ -10,10 +10,12 @@ from lectern.llm.license_scan import op6_license_scan
 from lectern.llm.line_dedup import op1_line_dedup
 from lectern.llm.perplexity import op5_quality
 from lectern.llm.pieces import op7_sentencepiece
+from lectern.llm.suffix_dedup import op2_suffix_dedup
 from lectern.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_language_id": op3_language_id,
     "op4_decontamination": op4_decontamination,
     "op5_quality": op5_quality,

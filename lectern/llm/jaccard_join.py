@@ -9,9 +9,9 @@ Two sets link when 100 * |A & B| >= percent * |A | B|. The join is exact:
 2. The others go to their sets. With all tokens of a set in order of rarity, any
    two linked sets share one of their first n - ceil(percent * n / 100) + 1. Most
    sets have nothing but lone tokens there: they link with nothing.
-3. The remaining sets are partitioned into groups of like sets (by the smallest
-   token of that beginning). The matrix holds each group's union of tokens and its
-   range of sizes. A set and a group qualify when the tokens in common, with all
+3. The remaining sets are partitioned into groups of like sets (by their smallest
+   token hash). The matrix holds each group's union of such tokens and its range of
+   sizes. A set and a group qualify when the tokens in common, with all
    that the set has outside its beginning, can reach the overlap that the sizes ask for.
 4. Each group is first compared with its own first set, and components are
    formed of the links found. Then qualifying groups are opened, but only for
@@ -149,9 +149,10 @@ def _batch(parts) -> pa.Table:
 
 
 def active_sets(documents: DataFrame, size: int, percent: int) -> DataFrame:
-    """Sets that may link, with the tokens that other sets have too: (set_id, n, rest, prefix, tokens).
+    """Sets that may link, with the tokens that other sets have too: (set_id, n, rest, grp, prefix, tokens).
 
-    prefix: tokens of the beginning; rest: how many tokens the set has behind it.
+    prefix: tokens of the beginning; rest: how many tokens the set has behind it;
+    grp: the smallest token hash, which like sets mostly share.
     """
     spark = documents.sparkSession
     bits = min(16, max(6, math.ceil(math.log2(2 * shuffle_width(spark)))))
@@ -206,22 +207,24 @@ def active_sets(documents: DataFrame, size: int, percent: int) -> DataFrame:
         shared = np.diff(begin)
         first = sizes - (percent * sizes + 99) // 100 + 1
         left = np.minimum(first - (sizes - shared), shared)
-        out = {"set_id": [], "n": [], "rest": [], "prefix": [], "tokens": []}
+        out = {"set_id": [], "n": [], "rest": [], "grp": [], "prefix": [], "tokens": []}
         for k in np.flatnonzero(left > 0):
             own = tokens[begin[k] : begin[k + 1]]
             out["set_id"].append(int(ids[k]))
             out["n"].append(int(sizes[k]))
             out["rest"].append(int(sizes[k] - first[k]))
             out["prefix"].append(own[: left[k]].astype(np.int64))
-            out["tokens"].append(np.sort(own).tobytes())
-        return pa.table({"set_id": pa.array(out["set_id"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "rest": pa.array(out["rest"], pa.int64()), "prefix": pa.array(out["prefix"], pa.list_(pa.int64())), "tokens": pa.array(out["tokens"], pa.binary())})
+            own = np.sort(own)
+            out["grp"].append(int(own[0]))
+            out["tokens"].append(own.tobytes())
+        return pa.table({"set_id": pa.array(out["set_id"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "rest": pa.array(out["rest"], pa.int64()), "grp": pa.array(out["grp"], pa.int64()), "prefix": pa.array(out["prefix"], pa.list_(pa.int64())), "tokens": pa.array(out["tokens"], pa.binary())})
 
     parts = documents.select("doc_id", "text").mapInArrow(scatter, _PARTS)
     return (
         parts.groupBy("bucket")
         .applyInArrow(frequent, _PARTS)
         .groupBy("bucket")
-        .applyInArrow(gather, "set_id long, n long, rest long, prefix array<long>, tokens binary")
+        .applyInArrow(gather, "set_id long, n long, rest long, grp long, prefix array<long>, tokens binary")
     )
 
 
@@ -319,7 +322,7 @@ def components(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """(doc_id, n_shingles, set_id, component_id): component_id is the smallest doc_id reachable by links."""
     spark = documents.sparkSession
     sets = save(spark, set_table(documents, size), "sets")
-    active = save(spark, active_sets(documents, size, percent).withColumn("grp", F.array_min("prefix")), "active")
+    active = save(spark, active_sets(documents, size, percent), "active")
     info = active.select("set_id", "n", "grp")
     groups = info.groupBy("grp").agg(F.min("set_id").alias("pivot"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.count("*").alias("m"))
     # each group against its own first set

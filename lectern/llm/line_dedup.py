@@ -333,7 +333,8 @@ def dedup_lines(documents: DataFrame, threshold: int = THRESHOLD, min_bytes: int
     gone = save(spark, gone, "gone")
     lines = F.split("text", "\n")
     rest = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n")
-    joined = documents.join(gone, "doc_id", "left")
+    # as a merge join at every size: the list of documents with removed lines grows with the corpus
+    joined = documents.join(gone.hint("shuffle_merge"), "doc_id", "left")
     return joined.select(
         *[F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest).alias("text") if c == "text" else F.col(c) for c in documents.columns],
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),

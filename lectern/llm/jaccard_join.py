@@ -40,7 +40,7 @@ from lectern.llm.common import complete_groups, connected_components, group_star
 WORD = np.ones(256, bool)
 WORD[[0x20, *range(0x09, 0x0E)]] = False
 _LOW48 = np.uint64((1 << 48) - 1)
-_FLUSH = 1_500_000
+_FLUSH = 1_000_000
 #: Sets of a block that one task compares with another block.
 BLOCK = 256
 #: Ids of copies, up to so many, are broadcast.

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import held_out, slices, table, text_bytes
 
 PROFILE = 300
-_SLICE = 2_000_000
+_SLICE = 1_000_000
 #: 0 bounds words; 1-26 letters; 27-127 the bytes from 0x80 on, folded.
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[65:91] = _SYMBOL[97:123] = np.arange(1, 27)

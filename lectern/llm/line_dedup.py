@@ -35,7 +35,7 @@ THRESHOLD = 2
 MIN_BYTES = 30
 #: Candidate lines, up to so many, are found again by a broadcast of their hashes (8 bytes each).
 BROADCAST_LINES = 2_000_000
-_FLUSH = 2_000_000
+_FLUSH = 1_200_000
 _LOW48 = np.uint64((1 << 48) - 1)
 _CLASS = (np.arange(256) * 7919 % 251 % 16).astype(np.int64)
 

@@ -37,7 +37,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The word mark within a task: a byte that UTF-8 never has.
 MARK = 0xFF
 FALLBACK = 1e11
-_SLICE = 4_000_000
+_SLICE = 2_000_000
 
 
 @dataclass

@@ -17,8 +17,9 @@ Blockwise, so that no task sorts more than its suffix buckets:
 4. Buckets of more than LARGE contexts are dealt by suffix fingerprints instead:
    exact as well, and evenly spread however many contexts share an anchor.
 
-Fingerprints are 64 bits (128 in step 4); ranks order samples by fingerprint, which
-tells equal from unlike as the order of their bytes would.
+Fingerprints are 64 bits (128 in step 4). Ranks are in the order of the samples' bytes:
+suffixes are held against a pivot at offsets that differ from one to the next, and only
+an order of the strings themselves puts equal suffixes on the same side at each.
 
 Strings count wherever they start in any document, the same included; matches
 never cross documents. Nulls: a null text is empty. Rows are told apart by id
@@ -85,6 +86,31 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int, window: int, gr
     return row, first - offsets[row], last - offsets[row], a - offsets[row], key, context
 
 
+def byte_ranks(body: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Rank of each body[p : p + length], p in `at`, in the order of bytes; the strings must be distinct."""
+    padded = np.concatenate([body, np.zeros(8, np.uint8)])
+    order, group, start = np.arange(len(at)), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    rank = np.zeros(len(at), np.int64)
+    for step in range(0, length, 8):  # only strings with equal bytes before are looked at again
+        width = min(8, length - step)
+        word = padded[(at[order] + step)[:, None] + np.arange(8)].view(">u8").ravel().astype(np.uint64) >> np.uint64(8 * (8 - width))
+        nxt = np.lexsort((word, group))
+        order, group, word = order[nxt], group[nxt], word[nxt]
+        base = start[nxt]
+        new = np.concatenate([[True], (group[1:] != group[:-1]) | (word[1:] != word[:-1])])
+        first = np.concatenate([[True], group[1:] != group[:-1]])
+        k = np.arange(len(order))
+        # a string's rank: that of its group and its part's place there
+        start = base + np.maximum.accumulate(np.where(new, k, 0)) - np.maximum.accumulate(np.where(first, k, 0))
+        rank[order] = start
+        group = np.cumsum(new) - 1
+        many = np.bincount(group)[group] > 1
+        order, group, start = order[many], group[many], start[many]
+        if not len(order):
+            break
+    return rank
+
+
 def repeated(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, back: np.ndarray, runs: np.ndarray, bucket: np.ndarray, length: int):
     """(context, place) of each suffix, and whether another context of its bucket has its first `length` bytes.
 
@@ -96,20 +122,21 @@ def repeated(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, back: np.nd
     prefix = prefix_hash(body)
     tail = mix(span_hash(prefix, at + length - V, at + length))
     head = mix(span_hash(prefix, at, at + V - 1) + tail + bucket[which].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + (back[which] - place).astype(np.uint64))
-    # the cover's samples and their ranks, for the whole block at once
-    residue = np.arange(len(body)) % V
-    inside = np.isin(residue, COVER)
-    room = np.zeros(len(body), bool)
-    for s, e in zip(starts, ends):
-        room[s : max(s, e - (length - V + 1) + 1)] = True
-    sample = np.flatnonzero(inside & room)
-    rank = np.zeros(len(body), np.int64)
-    rank[sample] = np.unique(span_hash(prefix, sample, sample + length - V + 1), return_inverse=True)[1]
-    steps = _cover_steps()
-    # groups of equal heads; then three-way partitions until every group is one string
+    # groups of equal heads
     order = np.argsort(head, kind="stable")
     group = np.zeros(len(order), np.int64)
     group[1:] = np.cumsum(head[order][1:] != head[order][:-1])
+    # the cover's samples behind the starts of tied suffixes, and their ranks, for the whole block at once
+    tied = at[order[np.bincount(group)[group] > 1]] if len(order) else order
+    edge = np.bincount(tied, minlength=len(body) + V) - np.bincount(tied + V, minlength=len(body) + V)[: len(body) + V]
+    sample = np.flatnonzero((np.cumsum(edge)[: len(body)] > 0) & np.isin(np.arange(len(body)) % V, COVER))
+    sample = sample[sample + length - V + 1 <= len(body)]
+    rank = np.zeros(len(body), np.int64)
+    if len(sample):
+        _, one, same = np.unique(span_hash(prefix, sample, sample + length - V + 1), return_index=True, return_inverse=True)
+        rank[sample] = byte_ranks(body, sample[one], length - V + 1)[same]
+    steps = _cover_steps()
+    # three-way partitions until every group is one string
     found = np.zeros(len(which), bool)
     while len(order):
         size = np.bincount(group)

@@ -113,6 +113,30 @@ def test_suffix_dedup_against_all_substrings(docs, spark):
     assert {x[0]: tuple(x[1:]) for x in got} == want
 
 
+def test_suffix_dedup_of_edited_near_copies(docs):
+    r = random.Random(5)
+    letters = "abcdefgh "
+    core = "".join(r.choices(letters, k=430))
+    versions = []
+    for _ in range(25):  # each differs from the others in its middle, and stands in two documents
+        v = list(core)
+        for _ in range(r.randint(1, 2)):
+            v[r.randrange(90, 340)] = r.choice("QXYZ")
+        versions.append("".join(v))
+    texts = ["".join(r.choices(letters, k=r.randint(0, 90))) + v + "".join(r.choices(letters, k=r.randint(0, 90))) for v in versions for _ in range(2)]
+    seen: dict[str, int] = {}
+    for t in texts:
+        for p in range(len(t) - 399):
+            seen[t[p : p + 400]] = seen.get(t[p : p + 400], 0) + 1
+    want = {}
+    for i, t in enumerate(texts):
+        gone = {q for p in range(len(t) - 399) if seen[t[p : p + 400]] > 1 for q in range(p, p + 400)}
+        want[i] = "".join(c for k, c in enumerate(t) if k not in gone)
+    rows = docs(texts).select("doc_id", "text").withColumn("row_id", suffix_dedup.row_id())
+    got = {x.doc_id: bytes(x.kept).decode() for x in suffix_dedup.remove_repeats(rows).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize(("size", "percent"), [(4, 85), (5, 80), (2, 50)])
 def test_jaccard_components_against_all_pairs(docs, size, percent):
     r = random.Random(size)

@@ -13,6 +13,9 @@ Two sets link when 100 * |A & B| >= percent * |A | B|. The join is exact:
    token hash). The matrix holds each group's union of such tokens and its range of
    sizes. A set and a group qualify when the tokens in common, with all
    that the set has outside its beginning, can reach the overlap that the sizes ask for.
+   That bound holds for the set whose beginning ends first in the order of rarity: what its
+   beginning shares with the other set stands in the other's beginning too. So of each pair
+   the set with the lesser end asks.
 4. Each group is first compared with its own first set, and components are
    formed of the links found. Then qualifying groups are opened, but only for
    members that are not yet in the component of the asking set: links inside a
@@ -149,9 +152,9 @@ def _batch(parts) -> pa.Table:
 
 
 def active_sets(documents: DataFrame, size: int, percent: int) -> DataFrame:
-    """Sets that may link, with the tokens that other sets have too: (set_id, n, rest, grp, prefix, tokens).
+    """Sets that may link, with the tokens that other sets have too: (set_id, n, rest, grp, last, prefix, tokens).
 
-    prefix: tokens of the beginning; rest: how many tokens the set has behind it;
+    prefix: tokens of the beginning; last: the place of its last in the order of rarity; rest: how many tokens the set has behind it;
     grp: the smallest token hash, which like sets mostly share.
     """
     spark = documents.sparkSession
@@ -202,29 +205,30 @@ def active_sets(documents: DataFrame, size: int, percent: int) -> DataFrame:
     def gather(group: pa.Table) -> pa.Table:
         ids, sizes, index, tokens, classes = _unpack([x.as_py() for x in group["payload"]], True)
         order = np.lexsort((tokens, classes, index))
-        index, tokens = index[order], tokens[order]
+        index, tokens, classes = index[order], tokens[order], classes[order]
         begin = np.searchsorted(index, np.arange(len(ids) + 1))
         shared = np.diff(begin)
         first = sizes - (percent * sizes + 99) // 100 + 1
         left = np.minimum(first - (sizes - shared), shared)
-        out = {"set_id": [], "n": [], "rest": [], "grp": [], "prefix": [], "tokens": []}
+        out = {"set_id": [], "n": [], "rest": [], "grp": [], "last": [], "prefix": [], "tokens": []}
         for k in np.flatnonzero(left > 0):
             own = tokens[begin[k] : begin[k + 1]]
             out["set_id"].append(int(ids[k]))
             out["n"].append(int(sizes[k]))
             out["rest"].append(int(sizes[k] - first[k]))
+            out["last"].append((int(classes[begin[k] + left[k] - 1]) << 48) | int(own[left[k] - 1]))
             out["prefix"].append(own[: left[k]].astype(np.int64))
             own = np.sort(own)
             out["grp"].append(int(own[0]))
             out["tokens"].append(own.tobytes())
-        return pa.table({"set_id": pa.array(out["set_id"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "rest": pa.array(out["rest"], pa.int64()), "grp": pa.array(out["grp"], pa.int64()), "prefix": pa.array(out["prefix"], pa.list_(pa.int64())), "tokens": pa.array(out["tokens"], pa.binary())})
+        return pa.table({"set_id": pa.array(out["set_id"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "rest": pa.array(out["rest"], pa.int64()), "grp": pa.array(out["grp"], pa.int64()), "last": pa.array(out["last"], pa.int64()), "prefix": pa.array(out["prefix"], pa.list_(pa.int64())), "tokens": pa.array(out["tokens"], pa.binary())})
 
     parts = documents.select("doc_id", "text").mapInArrow(scatter, _PARTS)
     return (
         parts.groupBy("bucket")
         .applyInArrow(frequent, _PARTS)
         .groupBy("bucket")
-        .applyInArrow(gather, "set_id long, n long, rest long, grp long, prefix array<long>, tokens binary")
+        .applyInArrow(gather, "set_id long, n long, rest long, grp long, last long, prefix array<long>, tokens binary")
     )
 
 
@@ -259,17 +263,17 @@ def _opened(qualified: DataFrame, active: DataFrame, placed: DataFrame, percent:
         .join(placed.groupBy("grp").agg(F.count("*").alias("members")), "grp")
         .select("grp", *[F.ceil(F.col(c) / block).cast("int").alias(c) for c in ("asking", "members")])
     )
-    what = active.select("set_id", "n", "tokens").join(placed.select("set_id", "component", F.col("grp").alias("own")), "set_id")
+    what = active.select("set_id", "n", "last", "tokens").join(placed.select("set_id", "component", F.col("grp").alias("own")), "set_id")
     part = lambda c: F.pmod(F.xxhash64("set_id"), F.col(c).cast("long")).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    asks = qualified.join(what.drop("own"), "set_id").join(blocks, "grp").select("grp", part("asking").alias("x"), every("members").alias("y"), F.lit(True).alias("asks"), "set_id", "n", "component", "tokens")
-    members = what.withColumnRenamed("own", "grp").join(blocks, "grp").select("grp", every("asking").alias("x"), part("members").alias("y"), F.lit(False).alias("asks"), "set_id", "n", "component", "tokens")
+    asks = qualified.join(what.drop("own"), "set_id").join(blocks, "grp").select("grp", part("asking").alias("x"), every("members").alias("y"), F.lit(True).alias("asks"), "set_id", "n", "last", "component", "tokens")
+    members = what.withColumnRenamed("own", "grp").join(blocks, "grp").select("grp", every("asking").alias("x"), part("members").alias("y"), F.lit(False).alias("asks"), "set_id", "n", "last", "component", "tokens")
     dealt = asks.unionByName(members).repartition(width, "grp", "x", "y").sortWithinPartitions("grp", "x", "y", "asks")
 
     def compared(batches):
         for table_ in complete_groups(batches, ["grp", "x", "y"]):
             starts = np.append(group_starts(table_, ["grp", "x", "y"]), table_.num_rows)
-            ids, n, comp = (np.asarray(table_[c]) for c in ("set_id", "n", "component"))
+            ids, n, last, comp = (np.asarray(table_[c]) for c in ("set_id", "n", "last", "component"))
             asking = table_["asks"].combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
             tokens = table_["tokens"].combine_chunks()
             out_a, out_b = [], []
@@ -278,7 +282,8 @@ def _opened(qualified: DataFrame, active: DataFrame, placed: DataFrame, percent:
                 if not len(member) or not len(ask):
                     continue
                 fits = 100 * np.minimum(n[ask][:, None], n[member]) >= percent * np.maximum(n[ask][:, None], n[member])
-                fits &= (ids[ask][:, None] < ids[member]) & (comp[ask][:, None] != comp[member])
+                before = (last[ask][:, None] < last[member]) | ((last[ask][:, None] == last[member]) & (ids[ask][:, None] < ids[member]))
+                fits &= before & (comp[ask][:, None] != comp[member])
                 a, b = np.nonzero(fits)
                 if not len(a):
                     continue

@@ -158,6 +158,25 @@ def test_jaccard_components_against_all_pairs(docs, size, percent):
     assert [x.component_id for x in got] == components(len(sets), links)
 
 
+def test_jaccard_links_between_groups(docs):
+    """Sets of unequal sizes that share their middle; the larger has rare words of its own, the smaller a frequent passage."""
+    r = random.Random(6)
+    bags = []
+    for batch in range(30):
+        passage = [f"p{batch}x{k}" for k in range(5)]
+        for pair in range(8):
+            common = [f"c{batch}x{pair}x{k}" for k in range(90)]
+            bags += [common + passage, common + [f"r{batch}x{pair}x{k}" for k in range(10)]]
+    for _ in range(40):  # and pairs of any sizes, some over and some under the threshold
+        common = r.sample([f"m{k}" for k in range(3000)], r.randint(20, 90))
+        bags += [common + r.sample([f"m{k}" for k in range(3000)], r.randint(0, 10)) for _ in range(2)]
+    r.shuffle(bags)
+    sets = [set(b) for b in bags]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    got = jaccard_join.components(docs([" ".join(b) for b in bags]), 1, 85).orderBy("doc_id").collect()
+    assert [x.component_id for x in got] == components(len(sets), links)
+
+
 def vectors(n, seed=4):
     r = np.random.default_rng(seed)
     x = r.standard_normal((n, 16))

@@ -16,10 +16,27 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that a document before them has, or nearly has; copies that lose all their text go."""
-    out = line_dedup.dedup_lines(docs)
+    """Documents without lines that a document before them has, or nearly has.
+
+    Copies go whole: documents that lose all their text, and those that lose all their longer lines
+    and whose short ones all stand in the documents where the longer lines stay.
+    """
+    out = line_dedup.dedup_lines(docs, keepers=True)
     emptied = (F.col("n_removed") > 0) & (F.trim(F.col("text")) == "")
-    return out.where(~F.coalesce(emptied, F.lit(False))).select(docs.columns)
+    rest = F.split("text", "\n")
+    short = (F.col("n_removed") > 0) & ~F.exists(rest, lambda x: F.octet_length(x) >= line_dedup.MIN_BYTES)
+    out = out.where(~F.coalesce(emptied, F.lit(False))).withColumn("shape", F.when(short, F.xxhash64("text", "kept_in")))
+    left = save(spark, out.where("shape IS NOT NULL").select("doc_id", "shape", F.array_distinct(rest).alias("rest"), "kept_in"), "fragments")
+    # each kind of fragment is looked up once, however many copies have it
+    kinds = left.dropDuplicates(["shape"])
+    asked = kinds.select("shape", F.explode("rest").alias("line"), "kept_in")
+    keepers = kinds.select(F.explode("kept_in").alias("doc_id")).distinct()
+    stand = docs.join(keepers, "doc_id", "left_semi").select(F.col("doc_id").alias("keeper"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where(F.octet_length("line") < line_dedup.MIN_BYTES)
+    found = asked.select("shape", "line", F.explode("kept_in").alias("keeper")).join(stand, ["keeper", "line"], "left_semi").select("shape", "line").distinct()
+    own = asked.join(found, ["shape", "line"], "left_anti").select("shape").distinct()
+    copies = left.join(own, "shape", "left_anti").groupBy("doc_id").agg(F.collect_set("shape").alias("copies"))
+    out = out.join(save(spark, copies, "copies").hint("shuffle_merge"), "doc_id", "left")
+    return out.where(~F.coalesce(F.array_contains("copies", F.col("shape")), F.lit(False))).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

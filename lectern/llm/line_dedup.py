@@ -314,7 +314,7 @@ def links(documents: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN
 
 
 def removed_lines(documents: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(doc_id, number, near): lines that go; near where the line that stays is unlike."""
+    """(doc_id, number, near, kept_in): lines that go; near where the line that stays is unlike; kept_in: the document of that line."""
     spark = documents.sparkSession
     where = save(spark, occurrences(documents.where("doc_id IS NOT NULL"), min_bytes), "occurrences")
     classes = connected_components(spark, links(documents, threshold, min_bytes), "lines").select(F.col("node").alias("line"), "component")
@@ -323,13 +323,16 @@ def removed_lines(documents: DataFrame, threshold: int = THRESHOLD, min_bytes: i
     lines = lines.join(classes, "line", "left").withColumn("component", F.coalesce("component", "line"))
     keep = lines.groupBy("component").agg(F.min_by(F.struct("first", "line"), "first").alias("kept"), F.sum("n").alias("n")).where("n > 1")
     stay = lines.join(keep.drop("n"), "component").select("line", F.col("kept.first").alias("first"), (F.col("kept.line") != F.col("line")).alias("near"))
-    return where.join(stay, "line").where("NOT (doc_id <=> first.doc_id AND number = first.number)").select("doc_id", "number", "near").distinct()
+    return where.join(stay, "line").where("NOT (doc_id <=> first.doc_id AND number = first.number)").select("doc_id", "number", "near", F.col("first.doc_id").alias("kept_in")).distinct()
 
 
-def dedup_lines(documents: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """The documents with their remaining lines as text, and n_lines, n_removed, n_near (removed as near copies)."""
+def dedup_lines(documents: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES, keepers: bool = False) -> DataFrame:
+    """The documents with their remaining lines as text, and n_lines, n_removed, n_near (removed as near copies).
+
+    With keepers also kept_in: the documents, ascending, where the removed lines stay; null if none were removed.
+    """
     spark = documents.sparkSession
-    gone = removed_lines(documents, threshold, min_bytes).groupBy("doc_id").agg(F.collect_set("number").alias("gone"), F.count_if("near").alias("n_near"))
+    gone = removed_lines(documents, threshold, min_bytes).groupBy("doc_id").agg(F.collect_set("number").alias("gone"), F.count_if("near").alias("n_near"), *([F.array_sort(F.collect_set("kept_in")).alias("kept_in")] if keepers else []))
     gone = save(spark, gone, "gone")
     lines = F.split("text", "\n")
     rest = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n")
@@ -340,6 +343,7 @@ def dedup_lines(documents: DataFrame, threshold: int = THRESHOLD, min_bytes: int
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
+        *(["kept_in"] if keepers else []),
     )
 
 

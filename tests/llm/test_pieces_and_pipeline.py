@@ -81,3 +81,15 @@ def test_pipeline_catches_and_keeps(spark, docs):
     out = {r.doc_id: r.text for r in p.lines(spark, lines, "").collect()}
     assert out == {0: "a line of more than thirty bytes\nown line one", 1: "own line two"}
     assert p.encoded(spark, d, "").where(F.col("n_ids") == 0).count() == 0
+
+
+def test_pipeline_drops_copies_with_short_lines(spark, docs):
+    import corpus_pipeline as p
+
+    first, second = "a first line of more than thirty bytes", "a second line of more than thirty bytes"
+    texts = [f"{first}\nLes.\n\n{second}\nFin", f"{second} too, and more of it\nElse"]
+    texts += [texts[0], f"{first}s\nFin\nLes.", f"{first}\nOwn.", f"{first}\nElse", "Les.\nFin", f"{first}\n\n", None, ""]
+    d = docs(texts).union(docs([(None, texts[0])]))
+    kept = sorted(-1 if r.doc_id is None else r.doc_id for r in p.lines(spark, d, "").collect())
+    # 2 and 7 are copies, 3 a near copy; 4 and 5 have a short line that the keeper of their long one lacks; 6 lost nothing
+    assert kept == [-1, 0, 1, 4, 5, 6, 8, 9]

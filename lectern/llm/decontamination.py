@@ -6,7 +6,9 @@ DataFrame functions only.
 * A window of a document has as many words as a benchmark item. A window that
   reaches the similarity shares a shingle with its item, so windows are laid
   where a shingle of an item stands, at that item's place: linear in documents,
-  and nothing that could qualify by that alignment is left out.
+  and nothing that could qualify by that alignment is left out. A place before the
+  document's first word or behind its last is moved inside; a document of fewer
+  words than the item is one window.
 * Each window and item gets a 64-bit SimHash of its weighted shingles. With
   RADIUS + 1 blocks, two fingerprints within RADIUS agree in a block at least:
   windows and items of one size meet by block, all pairs within the radius.
@@ -81,9 +83,7 @@ def find(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILAR
         .select("doc_id", F.size("w").alias("size"), shingle_hashes("w").alias("hashes"))
         .select("doc_id", "size", F.posexplode_outer("hashes").alias("i", "h"))  # outer: else a filter on the hashes is inferred, pushed down and computes them again
         .join(marks, "h")
-        .select("doc_id", "n", (F.col("i") - F.col("j")).alias("start"), "size")
-        .where("start >= 0 AND start + n <= size")
-        .select("doc_id", "n", "start")
+        .select("doc_id", "n", F.greatest(F.lit(0), F.least(F.col("i") - F.col("j"), F.col("size") - F.col("n"))).alias("start"))
         .distinct()
     )
     seeds = save(spark, seeds, "seeds")
@@ -97,7 +97,8 @@ def find(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILAR
         F.transform(
             F.array(words(F.col("text"))),
             lambda w: F.transform(
-                F.filter("windows", lambda at: at.start + at.n <= F.size(w)),
+                # n is the item's size, also of a window that is a whole shorter document
+                F.filter("windows", lambda at: (at.start + at.n <= F.size(w)) | ((at.start == 0) & (F.size(w) >= SHINGLE))),
                 lambda at: F.struct(at.n.alias("n"), at.start.alias("start"), F.slice(w, at.start + 1, at.n).alias("w")),
             ),
         )
@@ -129,7 +130,7 @@ def find(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILAR
         .withColumn("similarity", F.expr(f"shared / ({sums.format('shingles')} + {sums.format('theirs')} - shared)"))
         .where(F.col("similarity") >= similarity)
         .groupBy("doc_id", "item_id")
-        .agg(F.max_by(F.struct(F.col("start").cast("long").alias("start_word"), F.col("n").cast("long").alias("n_words"), F.col("hamming").cast("int").alias("hamming"), "similarity"), F.struct("similarity", -F.col("start"))).alias("best"))
+        .agg(F.max_by(F.struct(F.col("start").cast("long").alias("start_word"), (F.size("shingles") + SHINGLE - 1).cast("long").alias("n_words"), F.col("hamming").cast("int").alias("hamming"), "similarity"), F.struct("similarity", -F.col("start"))).alias("best"))
         .select("doc_id", "item_id", "best.*")
     )
 

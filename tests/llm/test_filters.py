@@ -113,6 +113,15 @@ def test_decontamination_against_all_windows(spark, docs):
     assert {x.doc_id for x in clean.select("doc_id").collect()} == set(range(len(texts))) - {d for d, _ in want}
 
 
+def test_decontamination_at_document_edges(spark, docs):
+    words = [f"term{k}" for k in range(400)]
+    item, other = words[:30], words[100:140]
+    texts = [item[1:] + other, other + item[:-1], item[1:], item[:-1], other, other[:10] + item[1:12], other[:3]]
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    got = {x.doc_id: (x.start_word, x.n_words) for x in decontamination.find(docs([" ".join(t) for t in texts]), bench).collect()}
+    assert got == {0: (0, 30), 1: (39, 30), 2: (0, 29), 3: (0, 29)}
+
+
 def test_hamming_blocks_cover_all_bits():
     for radius in (3, 15):
         bounds = [64 * k // (radius + 1) for k in range(radius + 2)]

@@ -13,11 +13,19 @@ one of t + 1 even segments whole, so:
   a batch at once.
 
 Near copies form classes (connected components); of each class the first line of
-the corpus by (doc_id, line number) stays and the others go. Shorter lines stay.
+the corpus by (doc_id, row, line number) stays and the others go. Shorter lines
+are never near copies of each other; with short_lines their exact repeats go as
+well, but for blank lines, which only set others apart.
+
+Equal lines are told by 128 bits of hash, near ones by their distance. A row is
+told by its id and a hash of id and text: rows with one id but unlike texts are
+documents of their own, and rows equal in both are one document listed twice, so
+both keep the same lines.
 
 Nulls: a null text has no lines; an empty text is one empty line. Documents with
-a null id keep their lines. Repeated ids are told apart by nothing but their
-order of lines, so their equal lines count as one.
+a null id keep their lines, and no other document loses a line to them. Other
+columns go through as they are, whatever their names; n_lines, n_removed, n_near
+and kept_in of the input give way to the operator's own.
 """
 
 from __future__ import annotations
@@ -29,15 +37,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import connected_components, mix, prefix_hash, save, shuffle_width, signed, slices, span_hash, table, text_bytes
+from lectern.llm.common import connected_components, discard, in_group, in_task, mix, prefix_hash, save, shuffle_width, signed, slices, span_hash, table, text_bytes
 
 THRESHOLD = 2
 MIN_BYTES = 30
 #: Candidate lines, up to so many, are found again by a broadcast of their hashes (8 bytes each).
 BROADCAST_LINES = 2_000_000
-_FLUSH = 1_200_000
+_FLUSH = 600_000
 _LOW48 = np.uint64((1 << 48) - 1)
 _CLASS = (np.arange(256) * 7919 % 251 % 16).astype(np.int64)
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: Columns that dedup_lines puts behind those of the documents.
+ADDED = ("n_lines", "n_removed", "n_near", "kept_in")
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -163,7 +174,7 @@ _PARTS = "bucket int, payload binary"
 
 def candidate_pairs(documents: DataFrame, threshold: int, min_bytes: int) -> DataFrame:
     """Distinct pairs (a, b) of hashes of unlike lines that share a key and whose byte counts are near; a is as long as b or longer."""
-    bits = min(16, max(6, math.ceil(math.log2(2 * shuffle_width(documents.sparkSession)))))
+    bits = min(20, max(6, math.ceil(math.log2(2 * shuffle_width(documents.sparkSession)))))
     shift = np.uint64(48 - bits)
 
     def scatter(batches):
@@ -171,7 +182,7 @@ def candidate_pairs(documents: DataFrame, threshold: int, min_bytes: int) -> Dat
 
         def flush():
             keys, lines, counts, probe = (np.concatenate(c) for c in zip(*held))
-            bucket = (keys >> shift).astype(np.uint16)
+            bucket = (keys >> shift).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             keys, lines, counts, probe, bucket = keys[order], lines[order], counts[order], probe[order], bucket[order]
             bounds = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
@@ -179,7 +190,7 @@ def candidate_pairs(documents: DataFrame, threshold: int, min_bytes: int) -> Dat
             for lo, hi in zip(bounds[:-1], bounds[1:]):
                 k = keys[lo:hi]
                 parts.append(b"".join([(k >> np.uint64(32)).astype(np.uint16).tobytes(), k.astype(np.uint32).tobytes(), lines[lo:hi].tobytes(), counts[lo:hi].tobytes(), probe[lo:hi].astype(np.uint8).tobytes()]))
-            return pa.RecordBatch.from_arrays([pa.array(bucket[bounds[:-1]].astype(np.int32)), pa.array(parts, pa.binary())], names=["bucket", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array(bucket[bounds[:-1]]), pa.array(parts, pa.binary())], names=["bucket", "payload"])
 
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
@@ -246,22 +257,30 @@ def candidate_pairs(documents: DataFrame, threshold: int, min_bytes: int) -> Dat
         pairs = np.unique(np.stack([np.concatenate(found_a), np.concatenate(found_b)], 1), axis=0)
         return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0]).view(np.int64)), "b": pa.array(np.ascontiguousarray(pairs[:, 1]).view(np.int64))})
 
-    return documents.select("text").mapInArrow(scatter, _PARTS).groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+    return documents.select("text").mapInArrow(in_task(scatter), _PARTS).groupBy("bucket").applyInArrow(in_group(meet), "a long, b long").distinct()
 
 
-def occurrences(documents: DataFrame, min_bytes: int) -> DataFrame:
-    """(doc_id, number, line) of every line of min_bytes bytes or more."""
+def occurrences(documents: DataFrame, min_bytes: int, short_lines: bool) -> DataFrame:
+    """(doc_id, row, number, line, check) of every line of min_bytes bytes or more, and with short_lines of all that aren't blank."""
 
     def run(batches):
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            ids = batch.column(0).cast(pa.int64())
+            data, offsets = text_bytes(batch.column(2))
+            ids, rows = batch.column(0).cast(pa.int64()), batch.column(1)
             for i, j in slices(offsets):
-                starts, ends, row, number, lines, _ = _hashed(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                body = data[offsets[i] : offsets[j]]
+                starts, ends, row, number, lines, prefix = _hashed(body, offsets[i : j + 1] - offsets[i])
                 ok = ends - starts >= min_bytes
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[ok] + i)), pa.array(number[ok].astype(np.int32)), pa.array(signed(lines[ok]))], names=["doc_id", "number", "line"])
+                if short_lines:
+                    seen = np.concatenate([[0], np.cumsum(~_BLANK[body])])
+                    ok |= seen[ends] > seen[starts]
+                starts, ends, row, number, lines = starts[ok], ends[ok], row[ok], number[ok], lines[ok]
+                middle = (starts + ends) // 2
+                check = mix(span_hash(prefix, starts, middle) + np.uint64(3) * span_hash(prefix, middle, ends))
+                at = pa.array(row + i)
+                yield pa.RecordBatch.from_arrays([ids.take(at), rows.take(at), pa.array(number.astype(np.int32)), pa.array(signed(lines)), pa.array(signed(check))], names=["doc_id", "row", "number", "line", "check"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, number int, line long")
+    return documents.select("doc_id", "row", "text").mapInArrow(in_task(run), "doc_id long, row long, number int, line long, check long")
 
 
 def _texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -289,7 +308,7 @@ def _texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                     seen.update(int(lines[k]) for k in fresh)
                 yield pa.RecordBatch.from_arrays([pa.array(lines[fresh], pa.int64()), pa.array([body[starts[k] : ends[k]].tobytes() for k in fresh], pa.binary())], names=["line", "text"])
 
-    found = documents.select("text").mapInArrow(run, "line long, text binary")
+    found = documents.select("text").mapInArrow(in_task(run), "line long, text binary")
     found = found if few else found.join(wanted, "line", "left_semi")
     return found.groupBy("line").agg(F.first("text").alias("text"))
 
@@ -310,43 +329,72 @@ def links(documents: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN
             ok = pa.array(d <= threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok), pa.array(d.astype(np.int32)).filter(ok)], names=["a", "b", "distance"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, distance int")
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(in_task(verify), "a long, b long, distance int")
+    out = save(spark, found, "links")
+    discard(pairs, texts)
+    return out
+
 
+def rows_of(documents: DataFrame) -> DataFrame:
+    """(doc, doc_id, row, text): doc holds all columns of the documents, out of the way of any other name."""
+    return documents.select(F.struct("*").alias("doc"), "doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
 
-def removed_lines(documents: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(doc_id, number, near, kept_in): lines that go; near where the line that stays is unlike; kept_in: the document of that line."""
-    spark = documents.sparkSession
-    where = save(spark, occurrences(documents.where("doc_id IS NOT NULL"), min_bytes), "occurrences")
-    classes = connected_components(spark, links(documents, threshold, min_bytes), "lines").select(F.col("node").alias("line"), "component")
+
+def removed_lines(rows: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES, short_lines: bool = False) -> DataFrame:
+    """(doc_id, row, gone, n_near, kept_in) of rows that lose lines: their numbers, how many go as near copies, and the rows (doc_id, row) where those that stay are."""
+    spark = rows.sparkSession
+    known = rows.where("doc_id IS NOT NULL")
+    where = save(spark, occurrences(known, min_bytes, short_lines), "occurrences")
+    near = links(known, threshold, min_bytes)
+    classes = connected_components(spark, near, "classes")
     # one row a line first, so that a line of very many documents meets its class once
-    lines = where.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.count("*").alias("n"))
-    lines = lines.join(classes, "line", "left").withColumn("component", F.coalesce("component", "line"))
-    keep = lines.groupBy("component").agg(F.min_by(F.struct("first", "line"), "first").alias("kept"), F.sum("n").alias("n")).where("n > 1")
-    stay = lines.join(keep.drop("n"), "component").select("line", F.col("kept.first").alias("first"), (F.col("kept.line") != F.col("line")).alias("near"))
-    return where.join(stay, "line").where("NOT (doc_id <=> first.doc_id AND number = first.number)").select("doc_id", "number", "near", F.col("first.doc_id").alias("kept_in")).distinct()
+    lines = where.groupBy("line", "check").agg(F.min(F.struct("doc_id", "row", "number")).alias("first"), F.count("*").alias("n"))
+    lines = lines.join(classes.withColumnRenamed("node", "line"), "line", "left")
+    # a line without near copies is a class of its own, under all its bits
+    lines = lines.withColumn("kind", F.coalesce("component", "line")).withColumn("rest", F.when(F.col("component").isNull(), F.col("check")).otherwise(F.lit(0).cast("long")))
+    keep = lines.groupBy("kind", "rest").agg(F.min_by(F.struct("first", "line"), "first").alias("kept"), F.sum("n").alias("n")).where("n > 1")
+    stay = lines.join(keep.drop("n"), ["kind", "rest"]).select("line", "check", F.col("kept.first").alias("first"), (F.col("kept.line") != F.col("line")).alias("near"))
+    gone = where.join(stay, ["line", "check"]).where("NOT (doc_id = first.doc_id AND row = first.row AND number = first.number)")
+    # equal rows give equal entries: sets count them once
+    gone = gone.groupBy("doc_id", "row").agg(
+        F.collect_set("number").alias("gone"),
+        F.size(F.collect_set(F.when(F.col("near"), F.col("number")))).alias("n_near"),
+        F.array_sort(F.collect_set(F.struct("first.doc_id", "first.row"))).alias("kept_in"),
+    )
+    out = save(spark, gone, "gone")
+    discard(where, near, classes)
+    return out
 
 
-def dedup_lines(documents: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES, keepers: bool = False) -> DataFrame:
-    """The documents with their remaining lines as text, and n_lines, n_removed, n_near (removed as near copies).
+def cut_lines(documents: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES, short_lines: bool = False) -> DataFrame:
+    """(doc, doc_id, row, text, n_lines, n_removed, n_near, kept_in) of every row: text is what remains, doc the row as it was.
 
-    With keepers also kept_in: the documents, ascending, where the removed lines stay; null if none were removed.
+    kept_in: the rows (doc_id, row), ascending, where the removed lines stay; null if none were removed.
     """
-    spark = documents.sparkSession
-    gone = removed_lines(documents, threshold, min_bytes).groupBy("doc_id").agg(F.collect_set("number").alias("gone"), F.count_if("near").alias("n_near"), *([F.array_sort(F.collect_set("kept_in")).alias("kept_in")] if keepers else []))
-    gone = save(spark, gone, "gone")
-    lines = F.split("text", "\n")
-    rest = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n")
+    rows = rows_of(documents)
+    gone = removed_lines(rows, threshold, min_bytes, short_lines)
+    # the one-element array binds the lines, so that a text is split once; places that stay are a difference of sets, linear in the lines
+    rest = F.get(F.transform(F.array(F.split("text", "\n")), lambda w: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(w) - 1), F.col("gone")), lambda i: F.get(w, i)), "\n")), F.lit(0))
     # as a merge join at every size: the list of documents with removed lines grows with the corpus
-    joined = documents.join(gone.hint("shuffle_merge"), "doc_id", "left")
+    joined = rows.join(gone.hint("shuffle_merge"), ["doc_id", "row"], "left")
     return joined.select(
-        *[F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest).alias("text") if c == "text" else F.col(c) for c in documents.columns],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
+        "doc",
+        "doc_id",
+        "row",
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest).alias("text"),
+        F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
-        *(["kept_in"] if keepers else []),
+        "kept_in",
     )
 
 
+def dedup_lines(documents: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES, short_lines: bool = False) -> DataFrame:
+    """The documents with their remaining lines as text, and n_lines, n_removed, n_near (removed as near copies), kept_in (see cut_lines)."""
+    out = cut_lines(documents, threshold, min_bytes, short_lines)
+    return out.select(*[F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in documents.columns if c not in ADDED], *ADDED)
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short_lines=True)
     return out.select("doc_id", "n_lines", "n_removed", "n_near", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

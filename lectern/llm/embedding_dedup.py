@@ -14,7 +14,10 @@ bucket, and as many tables as give a pair at the threshold RECALL to meet.
 
 Nulls: vectors that are null, zero, or hold null or non-finite components link
 with nothing; vectors of different lengths never link. Rows with the same id
-are separate vectors. Every row of the table is returned.
+are separate vectors: inside, each distinct vector has a number of its own, and
+ids come back only as the smallest of a component. Rows with a null id are linked
+like others; if a component has no other id, its id is null. Every row of the
+table is returned, with its id only: other columns don't matter.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import complete_groups, connected_components, group_starts, local_roots, save, shuffle_width, table
+from lectern.llm.common import complete_groups, connected_components, discard, group_starts, in_task, local_roots, save, shuffle_width, table
 
 RECALL = 0.998
 BLOCK = 1024
@@ -87,11 +90,9 @@ def link(embeddings: DataFrame, threshold: float = 0.95, recall: float = RECALL,
     fine = e.isNotNull() & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf"))) & F.exists(e, lambda v: v != 0)
     rows = embeddings.select("vec_id", "embedding", F.coalesce(fine, F.lit(False)).alias("fine"))
     keys = [F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(1), "embedding").alias("k2")]
-    distinct = save(
-        spark,
-        rows.where("fine").select("vec_id", "embedding", *keys).groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("embedding").alias("embedding")),
-        "vectors",
-    )
+    kinds = rows.where("fine").select("vec_id", "embedding", *keys).groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
+    # numbered as they are written: ids may repeat among unlike vectors, these numbers can't
+    distinct = save(spark, kinds.withColumn("rep", F.monotonically_increasing_id()), "vectors")
     about = distinct.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
     members = rows.select("vec_id", "fine", *keys)
     if not about["n"]:
@@ -112,7 +113,7 @@ def link(embeddings: DataFrame, threshold: float = 0.95, recall: float = RECALL,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * tables), flat)], names=["rep", "n", "embedding", "codes"])
 
     kind = dict(distinct.dtypes)["embedding"]
-    coded = distinct.select("rep", "n", "embedding").mapInArrow(hashed, f"rep long, n long, embedding {kind}, codes array<int>")
+    coded = distinct.select("rep", "n", "embedding").mapInArrow(in_task(hashed), f"rep long, n long, embedding {kind}, codes array<int>")
     coded = save(spark, coded.withColumn("d", F.size("embedding")), "codes")
     slots = coded.select("d", "rep", F.posexplode("codes").alias("t", "code"))
     large = slots.groupBy("d", "t", "code").agg(F.count("*").alias("m")).where(F.col("m") > block).select("d", "t", "code", F.ceil(F.col("m") / block).cast("int").alias("parts"))
@@ -144,15 +145,14 @@ def link(embeddings: DataFrame, threshold: float = 0.95, recall: float = RECALL,
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["rep", "links", "root"])
 
-    found = save(spark, dealt.mapInArrow(compared, "rep long, links long, root long"), "links")
-    components = connected_components(spark, found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "vectors")
+    found = save(spark, dealt.mapInArrow(in_task(compared), "rep long, links long, root long"), "links")
+    components = connected_components(spark, found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "components")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    whole = (
-        distinct.select("k1", "k2", "rep", "n")
-        .join(links, "rep", "left")
-        .join(components.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        .select("k1", "k2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"), F.lit(True).alias("fine"))
-    )
+    placed_in = distinct.select("k1", "k2", "rep", "n", "least").join(links, "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
+    placed_in = save(spark, placed_in.withColumn("component", F.coalesce("component", "rep")).select("k1", "k2", "n", "least", "links", "component"), "placed")
+    discard(coded, found, components, distinct)
+    named = placed_in.groupBy("component").agg(F.min("least").alias("id"))
+    whole = placed_in.join(named, "component").select("k1", "k2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.col("id").alias("component"), F.lit(True).alias("fine"))
     return members.join(whole, ["k1", "k2", "fine"], "left").select(
         "vec_id",
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),

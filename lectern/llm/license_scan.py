@@ -2,16 +2,22 @@
 
 DataFrame functions only; every row is scanned on its own, without a shuffle.
 
-Texts become lower-case words (runs of digits, a-z and non-ASCII characters)
-with one space between. Three base phrases are counted at all their places. On
-top, some hundred signature rules, each a regular expression over words, run on
+Texts become words (runs of digits, letters and non-ASCII characters, A-Z in lower
+case) with one space between. Three base phrases are counted at all their places.
+On top, some hundred signature rules, each a regular expression over words, run on
 texts that hold the keyword of a rule at all, and there each only where one of its
-own keywords stands. A detection is dropped if it lies within one of a higher
-priority, or within a longer one of the same priority. The score is the
-largest confidence of what is left (base phrases: 0.5), 0 without any.
+own keywords stands. Rules are of two kinds: phrases of license texts and notices,
+one written for each (TEXTS), and names of license families with their versions,
+each in two wordings (FAMILIES, COMMONS and the general public licenses).
+
+A detection is dropped if it lies within one of a higher priority, or within a
+longer one of the same priority. The score is the largest confidence of what is
+left (base phrases: 0.5), 0 without any. Work is linear in a text, but for the
+comparison of its detections with each other.
 
 Nulls: a null text counts as empty: no words, no labels (an empty string), no
-first or last word, score 0. Repeated rows are scanned each for itself.
+first or last word, score 0. Repeated rows are scanned each for itself. Other
+columns go through as they are; those named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ from lectern.llm.common import table
 
 #: Fixed values of the contract: phrase, label.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: License families: label, names as regular expressions over words, versions, keywords (every match holds one as whole words; with * it is the beginning of a word).
@@ -84,11 +91,110 @@ TEXTS = (
     ("proprietary", "unauthori[sz]ed (?:copying|reproduction|use|distribution)", "unauthori*", 30, 0.7),
     ("copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]", "copyright", 20, 0.6),
     ("copyright", "copyright by", "copyright", 15, 0.5),
-    ("no-warranty", "without warrant(?:y|ies) of any kind|as is without warranty", "without warrant|as is", 20, 0.4),
+    ("no-warranty", "without warrant(?:y|ies) of any kind|as is without warranty", "without warranty|without warranties|as is", 20, 0.4),
     ("no-warranty", "warranties of merchantability and fitness for a particular purpose", "warranties", 20, 0.4),
     ("terms", "terms of (?:use|service)(?: apply)?", "terms of", 10, 0.3),
-    ("licensed", "licen[sc]ed under (?:the )?(?:terms of )?", "licensed|licenced", 5, 0.3),
+    ("licensed", "licen[sc]ed under(?: the)?(?: terms of)?", "licensed|licenced", 5, 0.3),
+    ("apache-2.0", "you may not use this file except in compliance with the license", "in compliance", 55, 0.9),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license", "unless required", 55, 0.9),
+    ("apache-2.0", "apache org licenses license 2 0", "licenses license", 60, 0.95),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "source code form", 65, 0.95),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1", "contents of this file", 65, 0.95),
+    ("epl-1.0", "made available under the terms of the eclipse public license v1 0", "made available", 65, 0.95),
+    ("epl-2.0", "made available under the terms of the eclipse public license 2 0", "made available", 65, 0.95),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "this program is", 65, 0.95),
+    ("gpl", "you should have received a copy of the gnu general public license", "should have received", 65, 0.9),
+    ("gpl", "everyone is permitted to copy and distribute verbatim copies of this license document", "everyone is permitted", 55, 0.85),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", "this library is", 65, 0.95),
+    ("lgpl", "you should have received a copy of the gnu (?:lesser|library) general public license", "should have received", 65, 0.9),
+    ("agpl", "you should have received a copy of the gnu affero general public license", "should have received", 65, 0.9),
+    ("gpl-exception", "as a special exception(?: to the gpl)?", "special exception", 30, 0.6),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "permission is granted", 65, 0.95),
+    ("0bsd", "zero clause bsd(?: license)?|bsd zero clause license|0bsd", "zero clause|bsd zero|0bsd", 60, 0.9),
+    ("hpnd", "permission to use copy modify and distribute this software and its documentation for any purpose", "permission to use", 55, 0.85),
+    ("bsd-3-clause", "neither the name of (?:[^ ]+ ){1,12}nor the names of its contributors may be used to endorse", "neither the name", 60, 0.9),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display", "advertising materials", 65, 0.95),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software", "in no event", 60, 0.9),
+    ("zlib", "altered source versions must be plainly marked as such", "altered source", 60, 0.9),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", "permission is hereby", 65, 0.95),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered", 65, 0.95),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies", "everyone is permitted", 50, 0.8),
+    ("cc0-1.0", "has waived all copyright and related or neighboring rights", "has waived", 60, 0.95),
+    ("cc-by", "creativecommons org licenses by", "creativecommons org", 50, 0.9),
+    ("cc-by-sa", "creativecommons org licenses by sa", "creativecommons org", 55, 0.9),
+    ("cc-by-nd", "creativecommons org licenses by nd", "creativecommons org", 55, 0.9),
+    ("cc-by-nc", "creativecommons org licenses by nc", "creativecommons org", 55, 0.9),
+    ("cc-by-nc-sa", "creativecommons org licenses by nc sa", "creativecommons org", 60, 0.9),
+    ("cc-by-nc-nd", "creativecommons org licenses by nc nd", "creativecommons org", 60, 0.9),
+    ("cc", "this work is licensed under a creative commons(?: license)?", "this work is", 40, 0.7),
+    ("public-domain", "no known copyright restrictions", "no known copyright", 50, 0.8),
+    ("public-domain", "(?:us|u s|united states) government works?|work of the (?:us|u s|united states) government", "government work*|work of the", 40, 0.7),
+    ("pddl", "public domain dedication and license|pddl", "public domain|pddl", 60, 0.9),
+    ("cdla", "community data license agreement(?: permissive| sharing)?", "community data", 55, 0.9),
+    ("c-uda", "computational use of data agreement", "computational use", 55, 0.9),
+    ("ogl", "open government licen[sc]e", "open government", 55, 0.9),
+    ("etalab", "licence ouverte(?: open licence)?", "licence ouverte", 55, 0.9),
+    ("dl-de", "datenlizenz deutschland(?: namensnennung| zero)?", "datenlizenz", 55, 0.9),
+    ("sspl", "server side public license|sspl", "server side|sspl", 50, 0.9),
+    ("busl", "business source license|busl", "business source|busl", 50, 0.85),
+    ("busl-1.1", "business source license(?: version)? 1 1|busl 1 1", "business source|busl", 60, 0.95),
+    ("elastic", "elastic license", "elastic license", 50, 0.8),
+    ("elastic-2.0", "elastic license(?: version)? (?:2 0|v2)", "elastic license", 60, 0.95),
+    ("polyform", "polyform (?:noncommercial|shield|small business|strict|free trial|internal use|perimeter)(?: license)?", "polyform", 55, 0.9),
+    ("commons-clause", "commons clause(?: license condition)?", "commons clause", 55, 0.9),
+    ("openrail", "openrail(?: m)?|(?:bigscience |creativeml )?open rail m", "openrail|open rail|bigscience|creativeml", 55, 0.9),
+    ("llama", "llama (?:2|3|3 1|3 2|3 3|4) community license(?: agreement)?", "llama", 60, 0.95),
+    ("gemma", "gemma terms of use", "gemma", 55, 0.9),
+    ("perl", "(?:under the )?same terms as perl(?: itself)?", "same terms", 55, 0.9),
+    ("ruby", "(?:under the )?same terms as ruby|ruby license", "same terms|ruby license", 55, 0.85),
+    ("json", "the software shall be used for good not evil", "for good", 65, 0.95),
+    ("beerware", "beerware license|beer ware license|buy me a beer in return", "beerware|beer", 50, 0.9),
+    ("ijg", "independent jpeg group(?: license)?", "independent jpeg", 55, 0.8),
+    ("libpng", "libpng license|png reference library license", "libpng|png reference", 55, 0.9),
+    ("curl", "curl license", "curl license", 50, 0.85),
+    ("vim", "vim license", "vim license", 50, 0.85),
+    ("tcl", "tcl tk license|tcl license", "tcl", 50, 0.85),
+    ("unicode", "unicode license(?: agreement)?|unicode terms of use", "unicode", 50, 0.85),
+    ("w3c", "w3c software (?:notice and )?(?:document )?license", "w3c", 55, 0.9),
+    ("freetype", "freetype (?:project )?license", "freetype", 50, 0.9),
+    ("mit-0", "mit no attribution|mit 0", "mit no|mit 0", 60, 0.9),
+    ("mit", "(?:released|distributed|available) under (?:the )?mit|mit licensed", "under mit|under the|mit licensed", 40, 0.75),
+    ("bsd", "bsd licensed", "bsd licensed", 40, 0.75),
+    ("cpl", "common public license", "common public", 50, 0.85),
+    ("ipl", "ibm public license", "ibm public", 50, 0.85),
+    ("sissl", "sun industry standards source license", "sun industry", 50, 0.9),
+    ("npl", "netscape public license", "netscape public", 50, 0.9),
+    ("qpl", "q public license", "q public", 50, 0.9),
+    ("rpl", "reciprocal public license", "reciprocal public", 50, 0.9),
+    ("upl", "universal permissive license", "universal permissive", 50, 0.9),
+    ("lppl", "latex project public license|lppl", "latex project|lppl", 50, 0.9),
+    ("ecl", "educational community license", "educational community", 50, 0.9),
+    ("mulan", "mulan (?:psl|permissive software license)(?: v2| version 2)?", "mulan", 55, 0.9),
+    ("hippocratic", "hippocratic license", "hippocratic", 50, 0.9),
+    ("anti-996", "anti 996 license", "anti 996", 50, 0.9),
+    ("eula", "end user licen[sc]e agreement|eula", "end user|eula", 40, 0.7),
+    ("freeware", "this is freeware|distributed as freeware|freeware license", "freeware", 40, 0.7),
+    ("shareware", "this is shareware|distributed as shareware|shareware license", "shareware", 40, 0.7),
+    ("source-available", "source available license", "source available", 40, 0.7),
+    ("dual", "dual licensed(?: under)?", "dual licensed", 30, 0.5),
+    ("permission", "(?:used|reprinted|reproduced) (?:with|by) permission(?: of)?", "with permission|by permission", 30, 0.5),
+    ("proprietary", "for internal use only", "internal use", 30, 0.6),
+    ("proprietary", "do not (?:copy|redistribute)(?: or distribute)?", "do not copy|do not redistribute", 25, 0.5),
+    ("proprietary", "this (?:software|document|material) (?:is|contains) (?:the )?(?:proprietary|confidential)(?: and proprietary| and confidential)?", "proprietary|confidential", 45, 0.8),
+    ("proprietary", "trade secrets? of", "trade secret|trade secrets", 35, 0.7),
+    ("copyright", "all copyrights? (?:are )?retained", "all copyright|all copyrights", 30, 0.6),
+    ("reserved", "tous droits réservés", "tous droits", 30, 0.7),
+    ("reserved", "alle rechte vorbehalten", "alle rechte", 30, 0.7),
+    ("reserved", "todos los derechos reservados", "todos los", 30, 0.7),
+    ("reserved", "tutti i diritti riservati", "tutti i", 30, 0.7),
+    ("terms", "terms and conditions(?: apply)?", "terms and", 10, 0.3),
 )
+
+
+#: The columns that scan puts behind those of the documents.
+ADDED = ("n_words", "detections", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def rules() -> list[tuple[str, str, str, int, float]]:
     """(label, pattern, keywords, priority, confidence), built from the tables above: names with each version, in several wordings."""
     out = [(label, pattern, keyword, priority, sure) for label, pattern, keyword, priority, sure in TEXTS]
@@ -124,7 +230,7 @@ def rules() -> list[tuple[str, str, str, int, float]]:
 
 def normalise(text: Column) -> Column:
     """Words with one space between, in front and behind; a single space if there are none."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _NOT_WORD, " ")), F.lit(" "))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower()), _NOT_WORD, " ")), F.lit(" "))
 
 
 def _spaces(text: Column) -> Column:
@@ -145,20 +251,13 @@ def _word_regex(phrase: str) -> str:
 
 
 def _spans(text: Column, pattern: Column) -> Column:
-    """Word spans [start, end) of all matches of a pattern in a normalised text."""
-    between = F.split(text, pattern)
-    within = F.regexp_extract_all(text, pattern, F.lit(0))
-    pairs = F.arrays_zip(F.slice(between, 1, F.size(within)).alias("b"), within.alias("w"))
-    # words in front of the first match are the spaces there less one; between two matches stands one space more than words, too
-    state = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("out")),
-        lambda s, p: F.struct(
-            (s.at + _spaces(p["b"]) - 1 + _spaces(p["w"]) + 1).cast("int").alias("at"),
-            F.concat(s.out, F.array(F.struct((s.at + _spaces(p["b"]) - 1).cast("int").alias("start"), (s.at + _spaces(p["b"]) + _spaces(p["w"])).cast("int").alias("end")))).alias("out"),
-        ),
-    )
-    return state["out"]
+    """Word spans [start, end) of all matches of a pattern in a normalised text: matches are marked, words counted once."""
+    # the one-element array binds the words; the text's first space makes an empty one in front
+    words = F.split(F.regexp_replace(text, pattern, F.lit("\u0001$0\u0002")), " ")
+    at = lambda w, here, shift: F.filter(F.transform(w, lambda x, i: F.when(here(x), i - shift)), lambda i: i.isNotNull())
+    starts = lambda w: at(w, lambda x: x.startswith("\u0001"), 1)
+    ends = lambda w: at(w, lambda x: x.endswith("\u0002"), 0)
+    return F.get(F.transform(F.array(words), lambda w: F.zip_with(starts(w), ends(w), lambda a, b: F.struct(a.alias("start"), b.alias("end")))), F.lit(0))
 
 
 def _base(documents: DataFrame) -> DataFrame:
@@ -181,7 +280,9 @@ def _base(documents: DataFrame) -> DataFrame:
 
 
 def scan(documents: DataFrame) -> DataFrame:
-    """All columns but text, with norm's word count, base places, detections (label, start, end, priority, confidence), labels and score."""
+    """All columns but text, and those of ADDED: word count, base places, detections (label, start, end, priority, confidence), labels and score."""
+    own = [c for c in documents.columns if c not in ("text", *ADDED)]
+    documents = documents.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("doc") if own else F.lit(None).alias("doc"), "text")
     table_ = rules()
     keywords = sorted({k for r in table_ for k in r[2].split("|")})
     strings = lambda xs: "array(" + ", ".join(f"r'{x}'" for x in xs) + ")"
@@ -207,14 +308,16 @@ def scan(documents: DataFrame) -> DataFrame:
     labels = F.array_sort(F.array_distinct(F.concat(base, F.transform("detections", lambda d: d.label))))
     sure = F.coalesce(F.array_max(F.transform("detections", lambda d: d.confidence)), F.lit(0.0))
     return out.select(
-        "*",
+        *[F.col("doc")[c].alias(c) for c in own],
+        "n_words",
+        "detections",
         sum((F.coalesce(s["n"], F.lit(0)) for s in spots), F.lit(0)).cast("long").alias("n_base"),
         F.least(*[s["first"] for s in spots]).alias("first_word"),
         F.greatest(*[s["last"] for s in spots]).alias("last_word"),
         F.array_join(F.array_sort(base), ",").alias("base_labels"),
         F.array_join(labels, ",").alias("labels"),
         F.greatest(sure, F.when(F.size(base) > 0, F.lit(0.5)).otherwise(F.lit(0.0))).alias("score"),
-    ).drop(*[f"base{k}" for k in range(len(BASE))])
+    )
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

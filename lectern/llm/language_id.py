@@ -9,8 +9,12 @@ ties; the score is how far the next one lies behind, relative to it.
 Profiles are counted over all learning documents. Letters are A-Z in lower case and
 the bytes of every non-ASCII character, in 7-bit symbols; other characters bound words.
 
+A task holds the counts of the n-grams that it has met, and of the profiles just the
+n-grams they list: memory follows the languages' profiles, not the space of codes.
+
 Nulls: a null text, or one without a letter, is `und` with score 0. Rows with a null
 language or id teach nothing. Without any learning text all documents are `und`.
+Repeated rows are predicted each for itself; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -20,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import held_out, slices, table, text_bytes
+from lectern.llm.common import held_out, in_task, slices, table, text_bytes
 
 PROFILE = 300
-_SLICE = 1_000_000
+_SLICE = 500_000
+#: Counted n-grams that wait in a task before they are summed into what it holds.
+_PENDING = 400_000
 #: 0 bounds words; 1-26 letters; 27-127 the bytes from 0x80 on, folded.
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[65:91] = _SYMBOL[97:123] = np.arange(1, 27)
@@ -48,7 +54,8 @@ def ngram_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     keys = [(owner[s > 0] << _CODE_BITS) | code1]
     two = (s[:-1] << 7) | s[1:]
     ok = two > 0
-    keys.append((owner[1:][ok] << _CODE_BITS) | two[ok] | (2 << 21))
+    # the boundary behind a row's last letter stands in front of the next row
+    keys.append((np.where(s[1:] > 0, owner[1:], owner[:-1])[ok] << _CODE_BITS) | two[ok] | (2 << 21))
     three = (two[:-1] << 7) | s[2:]
     ok = s[1:-1] > 0
     keys.append((owner[1:-1][ok] << _CODE_BITS) | three[ok] | (3 << 21))
@@ -78,24 +85,31 @@ def fit(documents: DataFrame, profile: int = PROFILE) -> dict[str, np.ndarray]:
     """Codes of each language's profile by rank, from all rows of (text, lang): one short list a language reaches the driver."""
 
     def count(batches):
-        totals: dict[str, np.ndarray] = {}
+        names: dict[str, int] = {}
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        waiting, total = [], 0
+
+        def settle():
+            keys, n = (np.concatenate(c) for c in zip(held, *waiting))
+            order = np.argsort(keys)
+            keys, n = keys[order], n[order]
+            at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            return keys[at], np.add.reduceat(n, at) if len(at) else n
+
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
-            langs = np.array(batch.column(1).to_pylist(), object)
+            lang = np.array([names.setdefault(x, len(names)) for x in batch.column(1).to_pylist()], np.int64)
             for i, j in slices(offsets, _SLICE):
                 row, code, n = ngram_counts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                own = langs[i:j][row] if len(row) else np.zeros(0, object)
-                for lang in set(langs[i:j]):
-                    ok = own == lang
-                    part = np.bincount(code[ok], n[ok], minlength=0)
-                    if lang not in totals:
-                        totals[lang] = np.zeros(1 << _CODE_BITS, np.int32)
-                    totals[lang][: len(part)] += part.astype(np.int32)
-        for lang, x in totals.items():
-            at = np.flatnonzero(x)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(x[at].astype(np.int64))], names=["lang", "code", "n"])
-
-    counts = documents.select("text", "lang").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+                waiting.append(((lang[i:j][row] << _CODE_BITS) | code, n))
+                total += len(n)
+                if total >= _PENDING:
+                    held, waiting, total = settle(), [], 0
+        keys, n = settle()
+        known = np.array(list(names), object)
+        yield pa.RecordBatch.from_arrays([pa.array(known[keys >> _CODE_BITS] if len(keys) else [], pa.string()), pa.array(keys & ((1 << _CODE_BITS) - 1)), pa.array(n)], names=["lang", "code", "n"])
+
+    counts = documents.select("text", "lang").mapInArrow(in_task(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     # Spark keeps the first rows of each language before the shuffle, so a task gets profile rows from each at most
     first = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("rank") <= profile)
     out: dict[str, list] = {}
@@ -107,11 +121,14 @@ def fit(documents: DataFrame, profile: int = PROFILE) -> dict[str, np.ndarray]:
 def predict(documents: DataFrame, profiles: dict[str, np.ndarray], profile: int = PROFILE) -> DataFrame:
     """(doc_id, lang_pred, score) of every row."""
     names = sorted(profiles)
+    # the n-grams that any profile lists, and each language's rank of them (-1: not listed)
+    listed = np.unique(np.concatenate([np.zeros(0, np.int64), *profiles.values()]))
+    padded = np.append(listed, -1)
+    ranks = np.full((len(names), len(padded)), -1, np.int32)
+    for k, name in enumerate(names):
+        ranks[k, np.searchsorted(listed, profiles[name])] = np.arange(len(profiles[name]))
 
     def run(batches):
-        ranks = np.full((len(names), 1 << _CODE_BITS), -1, np.int16)
-        for k, name in enumerate(names):
-            ranks[k, profiles[name]] = np.arange(len(profiles[name]))
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             for i, j in slices(offsets, _SLICE):
@@ -119,8 +136,10 @@ def predict(documents: DataFrame, profiles: dict[str, np.ndarray], profile: int
                 row, code, rank = top_ranks(*ngram_counts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), profile)
                 size = np.bincount(row, minlength=n)
                 far = np.zeros((len(names), n))
+                at = np.searchsorted(listed, code)
+                at = np.where(padded[at] == code, at, len(listed))
                 for k in range(len(names)):
-                    r = ranks[k, code]
+                    r = ranks[k, at]
                     far[k] = np.bincount(row, np.where(r >= 0, np.abs(r - rank), profile), n)
                 label, score = np.full(n, "und", object), np.zeros(n)
                 some = np.flatnonzero(size)
@@ -131,7 +150,7 @@ def predict(documents: DataFrame, profiles: dict[str, np.ndarray], profile: int
                     score[some] = np.where(second > 0, 1 - order[0] / np.maximum(second, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n).cast(pa.int64()), pa.array(label, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return documents.select("doc_id", "text").mapInArrow(in_task(run), "doc_id long, lang_pred string, score double")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

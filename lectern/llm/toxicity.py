@@ -13,7 +13,8 @@ marginal is 0.5 or more.
 
 Nulls: a null text counts as empty and scores as a text without hits; rows with
 null labels or ids teach nothing; repeated labels of a document count once (the
-largest). Without labels the score is 0.
+largest). Without labels the score is 0. Repeated rows are scored each for itself.
+Other columns don't matter and go through keep_clean as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,12 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import held_out, lower_ascii, prefix_hash, slices, span_hash, table, text_bytes, word_spans
+from lectern.llm.common import held_out, in_task, lower_ascii, prefix_hash, slices, span_hash, table, text_bytes, word_spans
 
 #: Labelled documents that the model is fitted on, at most (chosen by a hash of their ids).
 TRAIN_DOCS = 12_000
-#: Features that the lexicon keeps, at most.
-LEXICON = 4_000
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6)
 _FAR = 512
@@ -61,7 +60,7 @@ def _features(data: np.ndarray, offsets: np.ndarray):
 
 @dataclass
 class Model:
-    """Everything that scoring needs; at most LEXICON features, so it travels in closures."""
+    """Everything that scoring needs. Its features come from the bounded sample, so it travels in closures."""
 
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -184,8 +183,8 @@ def _emit(model_weights: np.ndarray, bias: float, found: np.ndarray) -> np.ndarr
     return bias + np.where(found >= 0, model_weights[found], 0.0).sum(1) if len(found) else np.zeros(0)
 
 
-def fit(spark: SparkSession, documents: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, lexicon: int = LEXICON) -> Model:
-    """Fit on at most train_docs labelled documents, all of them outside the held-out fold."""
+def fit(spark: SparkSession, documents: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
+    """Fit on at most train_docs labelled documents, all of them outside the held-out fold. The lexicon: features of three toxic documents or more, and of four times as many as clean ones."""
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id", 4, 2))
         .groupBy("doc_id")
@@ -215,12 +214,10 @@ def fit(spark: SparkSession, documents: DataFrame, labels: DataFrame, train_docs
                 yield pa.RecordBatch.from_arrays([pa.array(uniq.view(np.int64)), pa.array(p.astype(np.int64)), pa.array((n - p).astype(np.int64))], names=["key", "pos", "neg"])
 
     counts = (
-        sample.mapInArrow(count, "key long, pos long, neg long")
+        sample.mapInArrow(in_task(count), "key long, pos long, neg long")
         .groupBy("key")
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         .where("pos >= 3 AND pos >= 4 * neg")
-        .orderBy(F.desc(F.col("pos") / (F.col("neg") + 1.0)), "key")
-        .limit(lexicon)
         .toPandas()
     )
     model = Model(keys=np.sort(counts["key"].to_numpy(np.int64).view(np.uint64)))
@@ -245,7 +242,7 @@ def fit(spark: SparkSession, documents: DataFrame, labels: DataFrame, train_docs
                     names=["label", "n", "places", "found"],
                 )
 
-    rows = sample.mapInArrow(gather, "label int, n long, places array<long>, found array<long>").toPandas()
+    rows = sample.mapInArrow(in_task(gather), "label int, n long, places array<long>, found array<long>").toPandas()
     if len(rows):
         _train(model, rows)
     return model
@@ -339,7 +336,7 @@ def tag(documents: DataFrame, model: Model) -> DataFrame:
                 spans = pa.StructArray.from_arrays([pa.array(starts), pa.array(ends), pa.array(post)], fields=list(kind.value_type))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(p), pa.array(np.diff(bounds).astype(np.int64)), pa.ListArray.from_arrays(pa.array(bounds), spans)], names=["doc_id", "score", "n_spans", "spans"])
 
-    return documents.select("doc_id", "text").mapInArrow(score, schema)
+    return documents.select("doc_id", "text").mapInArrow(in_task(score), schema)
 
 
 def keep_clean(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -354,7 +351,7 @@ def keep_clean(documents: DataFrame, model: Model, threshold: float = THRESHOLD)
                 p = _scores(model, seen, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0]
                 yield batch.slice(i, j - i).filter(pa.array(p < threshold))
 
-    return documents.mapInArrow(clean, documents.schema)
+    return documents.mapInArrow(in_task(clean), documents.schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,10 @@ that tokenizing and hashing are whole-array numpy work inside Spark tasks.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task; a longer text is a slice of its own.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
+
+#: Bytes of an Arrow batch between Spark and its Python workers: both sides hold a batch whole.
+BATCH_BYTES = 8_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240229)
@@ -24,14 +28,24 @@ _BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) *
 _powers: dict[str, np.ndarray] = {}
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on Arrow batches, unless it is lower already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, "67108864b").rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share. Only a local session may go without one; it gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -39,9 +53,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def save(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """Cut lineage: write a table in the shared folder and read it again."""
+    bound_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*saved: DataFrame) -> None:
+    """Delete saved tables that nothing will read again; what was made of them must have been written."""
+    for df in saved:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -53,6 +78,38 @@ def held_out(doc_id: str, modulus: int, remainder: int):
     return F.crc32(F.col(doc_id).cast("string")) % modulus == remainder
 
 
+def release() -> None:
+    """Hand freed memory back to the system: a Python worker lives on between tasks and would keep what its largest one took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, others need not
+    if trim:
+        trim(0)
+
+
+def in_task(run: Callable) -> Callable:
+    """A function for mapInArrow that releases its memory at the end of each task."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def in_group(run: Callable) -> Callable:
+    """The same for a function over one group."""
+
+    def wrapped(group: pa.Table) -> pa.Table:
+        try:
+            return run(group)
+        finally:
+            release()
+
+    return wrapped
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of an Arrow string column and the int64 offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -78,14 +135,17 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse modulo 2**64 for i below n (grown on demand, kept per worker)."""
+    """base**i and its inverse modulo 2**64 for i below n; a worker keeps those of one slice, longer ones are made anew."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, SLICE_BYTES + 1)
+        made = {}
         inverse = np.uint64(pow(int(_BASE), -1, 2**64))
         for name, base in (("up", _BASE), ("down", inverse)):
-            x = np.full(size, base, np.uint64)
+            x = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
             x[0] = 1
-            _powers[name] = np.multiply.accumulate(x)
+            made[name] = np.multiply.accumulate(x)
+        if n > SLICE_BYTES + 1:
+            return made["up"][:n], made["down"][:n]
+        _powers.update(made)
     return _powers["up"][:n], _powers["down"][:n]
 
 
@@ -180,22 +240,27 @@ def connected_components(spark: SparkSession, edges: DataFrame, tag: str = "cc")
     """(node, component): the smallest node reachable over edges (a, b).
 
     Minimum labels spread over the edges and are shortcut through their own
-    labels; each round is one table in the shared folder. Nothing but a count
-    of changes reaches the driver.
+    labels; each round is one table in the shared folder, deleted when the next
+    one stands. Nothing but whether labels changed reaches the driver.
     """
     both = edges.select("a", "b").where("a <> b").distinct()
     both = save(spark, both.union(both.select(F.col("b"), F.col("a"))), f"{tag}-edges")
-    labels = save(spark, both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), tag)
-    while True:
+    labels = save(spark, both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component"), F.lit(True).alias("moved")), tag)
+    changed = True
+    while changed:
         spread = (
             both.join(labels.select(F.col("node").alias("b"), "component"), "b")
             .groupBy(F.col("a").alias("node"))
             .agg(F.min("component").alias("near"))
         )
-        moved = labels.join(spread, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        roots = moved.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        nxt = save(spark, moved.join(roots, "component", "left").select("node", "old", F.least("component", F.coalesce("root", "component")).alias("component")), tag)
-        changed = nxt.where("old <> component").limit(1).count()
-        labels = nxt.select("node", "component")
-        if not changed:
-            return labels
+        near = labels.join(spread, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        roots = near.select(F.col("node").alias("component"), F.col("component").alias("root"))
+        least = F.least("component", F.coalesce("root", "component"))
+        nxt = save(spark, near.join(roots, "component", "left").select("node", least.alias("component"), (least != F.col("old")).alias("moved")), tag)
+        discard(labels)
+        labels = nxt
+        changed = not nxt.where("moved").isEmpty()
+    discard(both)
+    out = labels.select("node", "component")
+    out.saved_at = labels.saved_at
+    return out

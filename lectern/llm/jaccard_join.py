@@ -25,8 +25,11 @@ Components are those of all links; links inside a component are not listed.
 
 Nulls: a null, empty or wordless text has no shingles and links with nothing; a
 text of fewer words than a shingle has its whole sequence as its one shingle.
-Rows with equal ids count as documents of their own. 48-bit tokens and a 64-bit
-set hash stand for the strings.
+Rows with equal ids count as documents of their own; keep_first keeps or drops
+rows of one id together. Other columns go through keep_first as they are,
+whatever their names. 48-bit tokens and a 64-bit set hash stand for the strings:
+the chance that a pair's overlap is one off is below the product of their sizes
+over 2**48.
 """
 
 from __future__ import annotations
@@ -38,12 +41,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import complete_groups, connected_components, group_starts, local_roots, lower_ascii, mix, prefix_hash, save, shuffle_width, signed, slices, span_hash, table, text_bytes, word_spans
+from lectern.llm.common import complete_groups, connected_components, discard, group_starts, in_group, in_task, local_roots, lower_ascii, mix, prefix_hash, save, shuffle_width, signed, slices, span_hash, table, text_bytes, word_spans
 
 WORD = np.ones(256, bool)
 WORD[[0x20, *range(0x09, 0x0E)]] = False
 _LOW48 = np.uint64((1 << 48) - 1)
-_FLUSH = 1_000_000
+_FLUSH = 600_000
 #: Sets of a block that one task compares with another block.
 BLOCK = 256
 #: Ids of copies, up to so many, are broadcast.
@@ -103,7 +106,7 @@ def set_table(documents: DataFrame, size: int) -> DataFrame:
                 ids = signed(set_hashes(keys, counts))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(counts.astype(np.int64)), pa.array(ids, mask=counts == 0)], names=["doc_id", "n_shingles", "set_id"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long")
+    return documents.select("doc_id", "text").mapInArrow(in_task(run), "doc_id long, n_shingles long, set_id long")
 
 
 def _pack(tokens, index, sets, sizes, classes=None) -> bytes:
@@ -158,7 +161,7 @@ def active_sets(documents: DataFrame, size: int, percent: int) -> DataFrame:
     grp: the smallest token hash, which like sets mostly share.
     """
     spark = documents.sparkSession
-    bits = min(16, max(6, math.ceil(math.log2(2 * shuffle_width(spark)))))
+    bits = min(20, max(6, math.ceil(math.log2(2 * shuffle_width(spark)))))
     shift = np.uint64(48 - bits)
     set_bits = max(5, bits - 3)  # what is left after the first shuffle is less; each bucket writes a payload for each of these
 
@@ -168,7 +171,7 @@ def active_sets(documents: DataFrame, size: int, percent: int) -> DataFrame:
         def flush():
             row = np.concatenate([np.full(len(t), k) for k, t in enumerate(held)])
             tokens = np.concatenate(held)
-            return _batch(_pieces((tokens >> shift).astype(np.uint16), tokens, row, np.array(sets, np.int64), np.array(sizes))).to_batches()
+            return _batch(_pieces((tokens >> shift).astype(np.int32), tokens, row, np.array(sets, np.int64), np.array(sizes))).to_batches()
 
         for batch in batches:
             for _, _, data, offsets in _blocks(batch):
@@ -200,7 +203,7 @@ def active_sets(documents: DataFrame, size: int, percent: int) -> DataFrame:
         many = each > 1
         classes = np.minimum(255, np.floor(8 * np.log2(each[many])))
         index = index[many]
-        return _batch(_pieces((mix(ids.view(np.uint64))[index] >> np.uint64(64 - set_bits)).astype(np.uint16), tokens[many], index, ids, sizes, classes))
+        return _batch(_pieces((mix(ids.view(np.uint64))[index] >> np.uint64(64 - set_bits)).astype(np.int32), tokens[many], index, ids, sizes, classes))
 
     def gather(group: pa.Table) -> pa.Table:
         ids, sizes, index, tokens, classes = _unpack([x.as_py() for x in group["payload"]], True)
@@ -223,12 +226,12 @@ def active_sets(documents: DataFrame, size: int, percent: int) -> DataFrame:
             out["tokens"].append(own.tobytes())
         return pa.table({"set_id": pa.array(out["set_id"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "rest": pa.array(out["rest"], pa.int64()), "grp": pa.array(out["grp"], pa.int64()), "last": pa.array(out["last"], pa.int64()), "prefix": pa.array(out["prefix"], pa.list_(pa.int64())), "tokens": pa.array(out["tokens"], pa.binary())})
 
-    parts = documents.select("doc_id", "text").mapInArrow(scatter, _PARTS)
+    parts = documents.select("doc_id", "text").mapInArrow(in_task(scatter), _PARTS)
     return (
         parts.groupBy("bucket")
-        .applyInArrow(frequent, _PARTS)
+        .applyInArrow(in_group(frequent), _PARTS)
         .groupBy("bucket")
-        .applyInArrow(gather, "set_id long, n long, rest long, grp long, last long, prefix array<long>, tokens binary")
+        .applyInArrow(in_group(gather), "set_id long, n long, rest long, grp long, last long, prefix array<long>, tokens binary")
     )
 
 
@@ -248,7 +251,7 @@ def _linked(pairs: DataFrame, percent: int) -> DataFrame:
                 ok[k] = 100 * both >= percent * (int(na[k]) + int(nb[k]) - both)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], names=["a", "b"])
 
-    return pairs.select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b").mapInArrow(in_task(run), "a long, b long")
 
 
 def _opened(qualified: DataFrame, active: DataFrame, placed: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
@@ -298,7 +301,7 @@ def _opened(qualified: DataFrame, active: DataFrame, placed: DataFrame, percent:
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
 
-    return dealt.mapInArrow(compared, "a long, b long")
+    return dealt.mapInArrow(in_task(compared), "a long, b long")
 
 
 def _overlaps(tokens: pa.Array, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -351,8 +354,10 @@ def components(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         .agg(F.count("*").alias("shared"))
         .where(f"shared + rest >= {need}")
     )
-    rest = _opened(save(spark, qualified.select("set_id", "grp"), "qualified"), active, placed, percent)
+    qualified = save(spark, qualified.select("set_id", "grp"), "qualified")
+    rest = _opened(qualified, active, placed, percent)
     joined = connected_components(spark, first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest), "sets")
+    discard(active, star, first, placed, qualified)
     least = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc"))
     whole = least.join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     named = whole.groupBy("component").agg(F.min("doc").alias("component_id"))

@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import prefix_hash, slices, span_hash, table, text_bytes
+from lectern.llm.common import in_task, prefix_hash, slices, span_hash, table, text_bytes
 
 #: Where the model file is; a parameter of everything here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The word mark within a task: a byte that UTF-8 never has.
 MARK = 0xFF
 FALLBACK = 1e11
-_SLICE = 2_000_000
+_SLICE = 1_000_000
 
 
 @dataclass
@@ -245,7 +245,7 @@ def encode(documents: DataFrame, path: str = MODEL, check: bool = True) -> DataF
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32), mask=np.append(gone, False)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(np.diff(at)), lists, pa.array(same, mask=gone)], names=["doc_id", "n_ids", "ids", "round_trip"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_ids long, ids array<int>, round_trip boolean")
+    return documents.select("doc_id", "text").mapInArrow(in_task(run), "doc_id long, n_ids long, ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
@@ -264,7 +264,7 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
             values = [None if gone[k] else texts[k].as_py().decode("utf-8", "replace") for k in range(len(column))]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(values, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(in_task(run), "doc_id long, text string")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

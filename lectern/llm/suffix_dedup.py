@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import complete_groups, group_starts, mix, prefix_hash, save, shuffle_width, signed, slices, span_hash, table, text_bytes
+from lectern.llm.common import complete_groups, discard, group_starts, in_task, mix, prefix_hash, save, shuffle_width, signed, slices, span_hash, table, text_bytes
 
 LENGTH = 400
 WINDOW = 180
@@ -176,7 +176,7 @@ def repeats(documents: DataFrame, length: int = LENGTH, window: int = WINDOW, gr
                 row, first, last, anchor, key, context = contexts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, window, gram)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + i)), *[pa.array(c.astype(np.int32)) for c in (first, last, anchor)], pa.array(signed(key)), pa.array(signed(context))], names=["row_id", "first", "last", "anchor", "key", "context"])
 
-    runs = save(spark, documents.select("row_id", "text").mapInArrow(cut, "row_id long, first int, last int, anchor int, key long, context long"), "runs")
+    runs = save(spark, documents.select("row_id", "text").mapInArrow(in_task(cut), "row_id long, first int, last int, anchor int, key long, context long"), "runs")
     kinds = runs.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("row_id", "first", "last", "anchor")).alias("one"))
     buckets = kinds.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("all")).where("all > 1")
     kinds = save(spark, kinds.join(buckets.select("key", "m"), "key"), "kinds")
@@ -199,7 +199,7 @@ def repeats(documents: DataFrame, length: int = LENGTH, window: int = WINDOW, gr
                 part = flat.slice(lo, 10_000)
                 yield pa.RecordBatch.from_arrays([part.field("key"), part.field("n"), part.field("bucket_size"), batch.column(0).take(pa.array(row[at])), part.field("first"), part.field("last"), part.field("anchor"), pa.array(found, pa.binary())], names=["key", "n", "bucket_size", "row_id", "first", "last", "anchor", "body"])
 
-    dealt = documents.select("row_id", "text").join(by_row, "row_id").mapInArrow(bodies, kind)
+    dealt = documents.select("row_id", "text").join(by_row, "row_id").mapInArrow(in_task(bodies), kind)
     cuts = save(spark, dealt, "contexts")
 
     def sort(batches):
@@ -227,7 +227,7 @@ def repeats(documents: DataFrame, length: int = LENGTH, window: int = WINDOW, gr
 
     width = max(8, shuffle_width(spark)) * 2
     result = "row_id long, first int, last int"
-    partly = cuts.where(F.col("bucket_size") <= large).repartition(width, "key").sortWithinPartitions("key").mapInArrow(sort, result)
+    partly = cuts.where(F.col("bucket_size") <= large).repartition(width, "key").sortWithinPartitions("key").mapInArrow(in_task(sort), result)
 
     def fingerprints(batches):
         for batch in batches:
@@ -244,7 +244,7 @@ def repeats(documents: DataFrame, length: int = LENGTH, window: int = WINDOW, gr
                 g = mix(span_hash(p, s, s + length // 2) + np.uint64(3) * span_hash(p, s + length // 2, s + length))
                 yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(signed(g)), pa.array(n[w]), batch.column(3).take(pa.array(w)), pa.array((first[w] + q).astype(np.int32))], names=["h", "g", "n", "row_id", "first"])
 
-    each = cuts.where(F.col("bucket_size") > large).mapInArrow(fingerprints, "h long, g long, n long, row_id long, first int")
+    each = cuts.where(F.col("bucket_size") > large).mapInArrow(in_task(fingerprints), "h long, g long, n long, row_id long, first int")
     often = each.groupBy("h", "g").agg(F.count("*").alias("c")).where("c > 1").drop("c")
     spread = each.where("n = 1").join(often, ["h", "g"]).select("row_id", "first", F.col("first").alias("last"))
     return whole.unionByName(partly).unionByName(spread)
@@ -277,7 +277,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets)), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept"], pa.binary())], names=["row_id", "doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     joined = documents.select("row_id", "doc_id", "text").join(by_row, "row_id", "left")
-    return joined.mapInArrow(strip, "row_id long, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(in_task(strip), "row_id long, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,3 +19,13 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="lectern-"))
     return df.checkpoint()
+
+
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or in a local session without it a folder of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="lectern-")

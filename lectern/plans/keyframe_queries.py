@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import maths as M
+from lectern.functions.images import picture_metrics
 from lectern.functions.maths import round6
 from lectern.operators.cut import cut
 from lectern.operators.keyframes import PAIR, families, last_of_chains
@@ -260,3 +261,11 @@ def jn_half_open(spark, sf):
     # segments follow each other: one holds all that comes before the next; none comes before the first
     both = points.unionByName(starts).withColumn("at", F.coalesce(F.last("seg", True).over(w), F.lit(0).cast("long")))
     return both.where("kind = 1").select("event_id", F.col("at").alias("seg"))
+
+
+@query("img_metrics")
+def img_metrics(spark, sf):
+    """Sharpness, edges, strokes, entropy and hash of pictures; each text's bytes, 64 a row, stand for one: no SQL for kernels, tested against plain versions."""
+    pictures = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.lit(64).alias("width"), F.encode("text", "utf-8").alias("pixels"))
+    m = picture_metrics(pictures, "doc_id")
+    return m.withColumn("score", M.content_score(F.col("sharp"), F.col("edge"), F.col("text"), F.col("entropy")))

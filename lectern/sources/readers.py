@@ -5,7 +5,9 @@ All are declarative scans: paths go to Spark's readers, so any store that Spark
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import clean_text, time_from_name
@@ -19,13 +21,15 @@ _LINE = r"^\[(\d+(?:\.\d+)?)\s*-\s*(\d+(?:\.\d+)?)\]\s*(.*)$"
 def transcript(spark: SparkSession, path: str) -> DataFrame:
     """(file, item_idx, start, end, center, text) of lines `[start-end] text`; other lines and empty texts are skipped.
 
-    A transcript file is read as one row, so its lines keep their order.
+    A transcript file is read as one row, so its lines keep their order. Folders named key=value add their keys as columns.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
-    parsed = lines.select("file", "pos", *[F.regexp_extract("line", _LINE, k).alias(n) for k, n in ((1, "s"), (2, "e"), (3, "t"))]).where("s <> ''")
-    item = parsed.select("file", "pos", F.col("s").cast("double").alias("start"), F.col("e").cast("double").alias("end"), clean_text(F.col("t")).alias("text")).where("text <> ''")
-    w = Window.partitionBy("file").orderBy("pos")
-    return item.select("file", (F.row_number().over(w) - 1).alias("item_idx"), "start", "end", ((F.col("start") + F.col("end")) / 2).alias("center"), "text")
+    raw = spark.read.text(path, wholetext=True)
+    folders = [c for c in raw.columns if c != "value"]
+    lines = raw.select(*folders, F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+    parsed = lines.select(*folders, "path", "file", "pos", *[F.regexp_extract("line", _LINE, k).alias(n) for k, n in ((1, "s"), (2, "e"), (3, "t"))]).where("s <> ''")
+    item = parsed.select(*folders, "path", "file", "pos", F.col("s").cast("double").alias("start"), F.col("e").cast("double").alias("end"), clean_text(F.col("t")).alias("text")).where("text <> ''")
+    w = Window.partitionBy("path").orderBy("pos")
+    return item.select(*folders, "file", (F.row_number().over(w) - 1).alias("item_idx"), "start", "end", ((F.col("start") + F.col("end")) / 2).alias("center"), "text")
 
 
 def ocr_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -92,3 +96,30 @@ def labelled_csv(spark: SparkSession, path: str) -> DataFrame:
                 return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items() if not n.startswith(("Unnamed", "_c"))])
             tried.append(f"{encoding} {sep!r}: {list(names.values())[:6]}")
     raise ValueError("no variant_name and is_true_positive columns; tried " + "; ".join(tried))
+
+
+def region(c) -> Column:
+    """The region of a cached selection, {"roi": [x1, y1, x2, y2]}: null unless it has just four whole numbers."""
+    roi = F.from_json(F.get_json_object(c, "$.roi"), "array<int>")
+    return F.when((F.size(roi) == 4) & ~F.exists(roi, lambda v: v.isNull()), roi)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def cached(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is read where it has been written before, else computed and written."""
+    if not exists(spark, path):
+        compute().write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def listing(spark: SparkSession, folder: str, suffixes: tuple[str, ...]) -> DataFrame:
+    """(path, length) of all files below a folder with one of the suffixes, each once; says so if there is none. Nothing but names and sizes is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    wanted = files.where(F.lower("path").rlike("(" + "|".join(s.replace(".", "[.]") for s in suffixes) + ")$")).dropDuplicates(["path"])
+    if wanted.isEmpty():
+        raise FileNotFoundError(f"no file with {', '.join(suffixes)} below {folder}")
+    return wanted

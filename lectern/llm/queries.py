@@ -26,5 +26,18 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-#: Only what SQL can express; the others are tested against brute force, held-out accuracy or a round trip.
-ORACLES: dict[str, str] = {}
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: The smallest id that each node reaches over links (a, b), both ways; nodes without links reach themselves.
+_REACH = "reach AS (SELECT a AS node, a AS goal FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.goal), least AS (SELECT node, min(goal) AS component FROM reach GROUP BY 1)"
+
+#: Only what SQL can express on whole tables; the others are tested against brute force, held-out accuracy or a round trip.
+ORACLES: dict[str, str] = {
+    "op8_embedding_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_dot_product(x.e, y.e) / (sqrt(list_dot_product(x.e, x.e)) * sqrt(list_dot_product(y.e, y.e))) >= 0.95), {_REACH}
+    SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN least ON node = vec_id LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY 1) c ON c.a = vec_id""",
+    "op10_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS MATERIALIZED (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS g FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), both AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+    links AS MATERIALIZED (SELECT a, b FROM both JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 85 * (p.n + q.n - k)), {_REACH}
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least ON node = d.doc_id""".replace(" both AS (", " pairs AS MATERIALIZED (").replace("FROM both JOIN", "FROM pairs JOIN"),
+}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import geometry as G
 from lectern.functions import maths as M
 from lectern.functions.maths import round6
+from lectern.operators.lines import sides
 from lectern.plans.catalog import query, table
 
 WIDTH, HEIGHT = 120, 90
@@ -249,6 +250,17 @@ def top_quad_candidates(spark, sf):
     return x.join(y, "l_suppkey").where(area >= 0.05 * WIDTH * HEIGHT).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("l_suppkey", "a", "b", "c", "d")
 
 
+@query("seq_sides")
+def seq_sides(spark, sf):
+    """Lines of each note's picture merged into sides of two directions: no SQL for clusters that grow, tested against known pictures."""
+    t = table(spark, sf, "lineitem")
+    x, y = F.col("l_quantity") * 2, F.col("l_discount") * 900
+    long = F.col("l_linenumber") * 10.0
+    flat = F.col("l_tax") < 0.04
+    lines = t.select("l_orderkey", F.xxhash64("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice").alias("line"), x.alias("x1"), y.alias("y1"), F.when(flat, x + long).otherwise(x).alias("x2"), F.when(flat, y).otherwise(y + long).alias("y2"))
+    return sides(lines, "l_orderkey")
+
+
 # --- reports ------------------------------------------------------------------------------
 
 _THREE = "three AS (SELECT l_orderkey, l_linenumber, m.method, CASE m.method WHEN 'classic' THEN l_discount * 8 WHEN 'neural' THEN l_tax * 11 ELSE (l_discount + l_tax) * 5 END AS iou, CASE m.method WHEN 'classic' THEN l_quantity ELSE l_quantity * 2 END AS runtime, l_linestatus AS video, m.method = 'classic' AND l_tax = 0 AS failed FROM lineitem, (VALUES ('classic'), ('neural'), ('hybrid')) m(method))"

@@ -84,12 +84,14 @@ def agg_epochs(spark, sf):
     o AS (SELECT video, win, seg, least(w.b, s.b) - greatest(w.a, s.a) AS ov FROM w JOIN s USING (video) WHERE least(w.b, s.b) - greatest(w.a, s.a) > 0)
     SELECT video, win, min_by(seg, {'v': -ov, 's': seg}) AS seg FROM o GROUP BY ALL""")
 def agg_dominant_label(spark, sf):
-    """The segment that covers most of each window of eight frames; the first on ties."""
+    """The segment that covers most of each window of eight frames; the first on ties. Both meet by video and day, in the first day that they share."""
     m = _marked(spark, sf)
     w = m.groupBy("video", F.floor(F.col("idx") / 8).alias("win")).agg(F.min("t").alias("a"), F.max("t").alias("b"))
     s = m.groupBy("video", "seg").agg(F.min("t").alias("c"), F.max("t").alias("d"))
     both = F.least("b", "d") - F.greatest("a", "c")
-    o = w.join(s, "video").withColumn("both", both).where("both > 0")
+    day = lambda c: F.floor(F.col(c) / 86400)
+    x, y = w.withColumn("day", F.explode(F.sequence(day("a"), day("b")))), s.withColumn("day", F.explode(F.sequence(day("c"), day("d"))))
+    o = x.join(y, ["video", "day"]).where(F.col("day") == F.greatest(day("a"), day("c"))).withColumn("both", both).where("both > 0")
     return o.groupBy("video", "win").agg(F.min_by("seg", F.struct(-F.col("both"), F.col("seg"))).alias("seg"))
 
 

@@ -130,7 +130,10 @@ def jn_interval_nearest(spark, sf):
 
 @query("jn_band_margin", _with(_FRAMES, _THRESHOLDS, _MARKED, _SEGS, _ERR) + "SELECT event_id, seg, floor(greatest(0.0::DOUBLE, 1.0::DOUBLE - abs(t - (a + b) / 2) / (greatest(12.0::DOUBLE, (b - a) / 2) + 12.0::DOUBLE)) * 1000000 + 0.5) / 1000000 AS score FROM errs JOIN segs USING (video) WHERE t >= a - 18 AND t <= b + 18")
 def jn_band_margin(spark, sf):
-    j = _errs(spark, sf).join(_segs(spark, sf), "video").where("t >= a - 18 AND t <= b + 18")
+    """Frames with the segments within eighteen seconds: they meet by video and hour."""
+    hours = F.explode(F.expr("sequence(floor((a - 18) / 3600), floor((b + 18) / 3600))"))
+    segs = _segs(spark, sf).withColumn("hour", hours)
+    j = _errs(spark, sf).withColumn("hour", F.floor(F.col("t") / 3600)).join(segs, ["video", "hour"]).where("t >= a - 18 AND t <= b + 18")
     return j.select("event_id", "seg", round6(M.frame_time_score(F.col("t"), F.col("a"), F.col("b"))).alias("score"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lectern.functions import maths as M
 from lectern.functions.maths import round6
 from lectern.plans.catalog import query, table
+from lectern.streaming.online import online_segments  # noqa: F401
 
 _FRAMES = """f0 AS (SELECT user_id AS video, event_id, event_type, ts, value, row_number() OVER w - 1 AS idx, date_diff('microsecond', first_value(ts) OVER w, ts) / 1000000.0::DOUBLE AS t,
     left(md5(event_id::VARCHAR), 16) AS phash, lag(value) OVER w AS prev, lag(left(md5(event_id::VARCHAR), 16)) OVER w AS prev_hash
@@ -311,7 +312,3 @@ def mth_hamming(spark, sf):
     h = lambda c: F.left(F.md5(F.col(c).cast("string")), F.lit(16))
     return _events(spark, sf).select("event_id", M.hamming64(h("event_id"), h("user_id")).cast("long").alias("bits"))
 
-
-def online_segments(events: DataFrame, gap: str = "2 hours", late: str = "1 hour") -> DataFrame:
-    """Streaming: sessions of each video by gaps between events (events need a `ts` timestamp with zone)."""
-    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"), F.max("value").alias("peak"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import maths as M
 from lectern.functions import text as T
 from lectern.functions.maths import round6
-from lectern.plans.catalog import query, table
+from lectern.plans.catalog import query, spread, table
 from lectern.plans.frame_queries import _FRAMES, _MARKED, _SEGMENTS, _STEP, _THRESHOLDS, _events, _marked, _with, frames, sample_step, scored, segments
 from lectern.plans.table_queries import _ITEMS, items
 from lectern.plans.text_queries import _tokens
@@ -152,7 +152,7 @@ def section_cosines(documents: DataFrame, sections: DataFrame) -> DataFrame:
     SELECT x.doc_id, x.item_id AS best, x.cos AS confidence, {_R6.format('x.cos - coalesce(y.cos, 0)')} AS margin, x.cos < 0.45 OR x.cos - coalesce(y.cos, 0) < 0.15 AS ambiguous FROM r x LEFT JOIN r y ON y.doc_id = x.doc_id AND y.rn = 2 WHERE x.rn = 1""")
 def seq_membership(spark, sf):
     """The plan section each document is most like, how much, by what margin, and whether that is ambiguous."""
-    cos = section_cosines(table(spark, sf, "documents"), table(spark, sf, "benchmark")).withColumn("cos", round6("cos"))
+    cos = section_cosines(spread(table(spark, sf, "documents").select("doc_id", "text")), table(spark, sf, "benchmark")).withColumn("cos", round6("cos"))
     w = Window.partitionBy("doc_id").orderBy(F.desc("cos"), "item_id")
     r = cos.withColumn("rn", F.row_number().over(w)).withColumn("second", F.coalesce(F.lead("cos").over(w), F.lit(0.0))).where("rn = 1")
     margin = F.col("cos") - F.col("second")

@@ -9,7 +9,7 @@ from lectern.functions import maths as M
 from lectern.functions import text as T
 from lectern.operators import summaries as S
 from lectern.operators.cut import cut
-from lectern.plans.catalog import query, table
+from lectern.plans.catalog import query, spread, table
 from lectern.plans.geometry_queries import r6, steady, steady_sql
 from lectern.plans.text_queries import _sentences, _tokens
 
@@ -22,7 +22,7 @@ _HALF = "SELECT doc_id, i, score, place FROM (SELECT *, row_number() OVER (PARTI
 
 
 def sentences(spark, sf) -> DataFrame:
-    return S.sentence_rows(table(spark, sf, "documents"))
+    return S.sentence_rows(spread(table(spark, sf, "documents").select("doc_id", "text")))
 
 
 @query("txt_luhn", f"WITH {_SENTS}, {_LUHN} {_HALF.format('luhn')}")

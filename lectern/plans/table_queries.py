@@ -11,7 +11,7 @@ from lectern.functions.maths import round6
 from lectern.operators.intervals import nearest_in_time, within_intervals
 from lectern.operators.ranking import pagerank
 from lectern.operators.sequence import decode_labels, merge_short, pack_windows
-from lectern.plans.catalog import query, table
+from lectern.plans.catalog import query, spread, table
 from lectern.plans.frame_queries import _FRAMES, _MARKED, _THRESHOLDS, _events, _marked, _with, frames
 from lectern.plans.text_queries import _sentences, _tokens
 
@@ -239,7 +239,7 @@ _ITEMS = f"""items AS (SELECT doc_id, i, length(s) AS n, (sum(length(s)) OVER w
 
 def items(spark, sf) -> DataFrame:
     """Sentences of each document as timed transcript items, fifteen characters a second."""
-    s = table(spark, sf, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "text"))
+    s = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "text"))
     n = F.length("text")
     run = F.sum(n).over(Window.partitionBy("doc_id").orderBy("i"))
     return s.select("doc_id", F.col("i").cast("long").alias("i"), "text", n.cast("long").alias("n"), ((run - n) / 15.0).alias("a"), (run / 15.0).alias("b"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.plans.catalog import query, table
+from lectern.plans.catalog import query, spread, table
 
 _EDGE = r"'^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g'"
 
@@ -31,7 +31,7 @@ def _sentences(x: str) -> str:
 
 
 def _docs(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 @query("str_clean_text", f"SELECT doc_id, length({_clean('text')}) AS n, md5({_clean('text')}) AS h FROM documents")

@@ -182,9 +182,9 @@ def polygon_iou(a: Column, b: Column) -> Column:
 
     def share(x: Column, y: Column) -> Column:
         edges = F.transform(y, lambda p, i: F.struct(p.alias("p"), F.get(y, (i + 1) % F.size(y)).alias("q")))
-        both = F.when(F.size(F.aggregate(edges, x, lambda poly, e: _cut(poly, e.p, e.q))) > 2, polygon_area(F.aggregate(edges, x, lambda poly, e: _cut(poly, e.p, e.q)))).otherwise(0.0)
-        union = polygon_area(x) + polygon_area(y) - both
-        return F.when((polygon_area(x) <= 0) | (polygon_area(y) <= 0) | (union <= 0), 0.0).otherwise(clamp(both / union, 0.0, 1.0))
+        rest = F.aggregate(edges, x, lambda poly, e: _cut(poly, e.p, e.q))
+        areas = bound(rest, lambda r: F.struct(F.when(F.size(r) > 2, polygon_area(r)).otherwise(0.0).alias("both"), polygon_area(x).alias("x"), polygon_area(y).alias("y")))
+        return bound(areas, lambda a: F.when((a.x <= 0) | (a.y <= 0) | (a.x + a.y <= a.both), 0.0).otherwise(clamp(a.both / (a.x + a.y - a.both), 0.0, 1.0)))
 
     return bound(order_quad(a), lambda x: bound(order_quad(b), lambda y: share(x, y)))
 

@@ -282,9 +282,9 @@ def txt_pagerank(spark, sf):
 _ROUGE = f"SELECT doc_id, array_to_string(t[i:i + 1], ' ') AS g, count(*) AS c FROM (SELECT doc_id, t, unnest(range(1, len(t))) AS i FROM (SELECT doc_id, {_tokens('{0}')} AS t FROM documents)) GROUP BY ALL"
 
 
-@query("txt_rouge2", f"SELECT doc_id, sum(least(a.c, b.c))::BIGINT AS overlap FROM ({_ROUGE.replace('{0}', 'left(text, 800)')}) a JOIN ({_ROUGE.replace('{0}', 'right(text, 800)')}) b USING (doc_id, g) GROUP BY 1")
+@query("txt_rouge2", f"SELECT doc_id, sum(least(a.c, b.c))::BIGINT AS overlap FROM ({_ROUGE.replace('{0}', 'left(text, length(text) // 2)')}) a JOIN ({_ROUGE.replace('{0}', 'substr(text, length(text) // 2 + 1)')}) b USING (doc_id, g) GROUP BY 1")
 def txt_rouge2(spark, sf):
-    """Shared bigrams, as a multiset, of two summaries of each document (its first and its last 800 characters)."""
+    """Shared bigrams, as a multiset, of the two halves of each document."""
     d = table(spark, sf, "documents")
 
     def grams(c, name):
@@ -292,5 +292,6 @@ def txt_rouge2(spark, sf):
         g = t.select("doc_id", F.explode(F.expr("transform(sequence(0, size(t) - 2), i -> concat(t[i], ' ', t[i + 1]))")).alias("g"))
         return g.groupBy("doc_id", "g").agg(F.count("*").alias(name))
 
-    j = grams(F.left("text", F.lit(800)), "x").join(grams(F.right("text", F.lit(800)), "y"), ["doc_id", "g"])
+    half = F.floor(F.length("text") / 2).cast("int")
+    j = grams(F.left("text", half), "x").join(grams(F.substr("text", half + 1), "y"), ["doc_id", "g"])
     return j.groupBy("doc_id").agg(F.sum(F.least("x", "y")).alias("overlap"))

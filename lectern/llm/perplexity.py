@@ -12,9 +12,12 @@ order down, at any size. Its shuffles are many times the text. So, while the mod
 has at most BROADCAST_GRAMS rows, score_by_lookup makes the same join inside the
 tasks that read the texts; both give the same perplexities.
 
-A document is kept if its perplexity is at most its language's QUANTILE of the
-trusted documents' perplexities; a language without trusted documents, or a null
-one, takes that of all trusted documents. Without any trusted text all is kept.
+A text that the model has counted looks better to it than its like. So a fifth of
+the trusted documents, by a hash of their ids, stays out of the counts (unless there
+would be none). A document is kept if its perplexity is at most its language's
+threshold: the QUANTILE of the counted documents' perplexities, raised by how much
+higher the median of those that stayed out is. A language without trusted documents,
+or a null one, takes the threshold of all. Without any trusted text all is kept.
 
 Nulls: a null or empty text has no perplexity (null) and is not kept. Rows of
 labels with null ids or quality teach nothing; a document is trusted if a row of
@@ -32,9 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import discard, in_task, save, slices, table, text_bytes
+from lectern.llm.common import discard, held_out, in_task, save, slices, table, text_bytes
 
 QUANTILE = 0.99
+#: One in so many trusted documents is not counted, for the thresholds.
+FOLD = 5
 #: Rows of a model that is looked up inside tasks, at most: 16 bytes each.
 BROADCAST_GRAMS = 4_000_000
 #: Languages whose thresholds are broadcast, at most.
@@ -258,7 +263,10 @@ def classify(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE
     trusted = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     # as a merge join at every size: the list of trusted documents grows with the corpus
     texts = documents.select("doc_id", "text").join(trusted.hint("shuffle_merge"), "doc_id", "left_semi")
-    counts = save(spark, count_grams(texts, alphabet), "grams")
+    counts = save(spark, count_grams(texts.where(~held_out("doc_id", FOLD, 0)), alphabet), "grams")
+    if counts.isEmpty():
+        discard(counts)
+        counts = save(spark, count_grams(texts, alphabet), "grams")
     shares = save(spark, kneser_ney(counts, alphabet), "shares")
     model = save(spark, interpolated(shares, alphabet), "model")
     discard(counts, shares)
@@ -266,9 +274,13 @@ def classify(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE
     scored = save(spark, score(documents, model, alphabet), "perplexity")
     discard(model)
     known = scored.join(trusted, "doc_id", "left_semi").where("perplexity IS NOT NULL")
-    at = F.percentile_approx("perplexity", quantile, 10000)
-    by_lang = save(spark, known.where("lang IS NOT NULL").groupBy("lang").agg(at.alias("own")), "thresholds")
-    overall = known.agg(at.alias("overall")).first()["overall"]
+    apart = held_out("doc_id", FOLD, 0)
+    at = lambda c, q: F.percentile_approx(c, q, 10000)
+    inside, outside = F.when(~apart, F.col("perplexity")), F.when(apart, F.col("perplexity"))
+    # greatest() passes over a null, where no document stayed out or none was counted
+    limit_of = F.coalesce(at(inside, quantile), at(F.col("perplexity"), quantile)) * F.greatest(F.lit(1.0), at(outside, 0.5) / at(inside, 0.5))
+    by_lang = save(spark, known.where("lang IS NOT NULL").groupBy("lang").agg(limit_of.alias("own")), "thresholds")
+    overall = known.agg(limit_of.alias("overall")).first()["overall"]
     # one row a language: broadcast, so that a language of most documents isn't one task's; more languages than that have none so large
     few = by_lang.limit(BROADCAST_LANGS + 1).count() <= BROADCAST_LANGS
     joined = scored.join(F.broadcast(by_lang) if few else by_lang, "lang", "left")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from lectern.llm.decontamination import op4_decontamination
 from lectern.llm.embedding_dedup import op8_embedding_dedup
+from lectern.llm.hard_negatives import op12_hard_negatives
 from lectern.llm.jaccard_join import op10_jaccard_join
 from lectern.llm.language_id import op3_language_id
 from lectern.llm.license_scan import op6_license_scan
 from lectern.llm.line_dedup import op1_line_dedup
 from lectern.llm.perplexity import op5_quality
 from lectern.llm.pieces import op7_sentencepiece
+from lectern.llm.source_mix import op13_source_mix
+from lectern.llm.spelling_groups import op11_spelling_groups
 from lectern.llm.suffix_dedup import op2_suffix_dedup
 from lectern.llm.toxicity import op9_toxicity
 
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_spelling_groups": op11_spelling_groups,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_source_mix": op13_source_mix,
 }
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -40,4 +46,8 @@ ORACLES: dict[str, str] = {
     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), both AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
     links AS MATERIALIZED (SELECT a, b FROM both JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 85 * (p.n + q.n - k)), {_REACH}
     SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least ON node = d.doc_id""".replace(" both AS (", " pairs AS MATERIALIZED (").replace("FROM both JOIN", "FROM pairs JOIN"),
+    "op12_hard_negatives": """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, r.vec_id AS id, list_dot_product(a.q, r.q)::BIGINT AS score, a.label = r.label AS same FROM v a JOIN v r ON a.vec_id <> r.vec_id AND len(a.q) = len(r.q) WHERE a.vec_id % 100 = 0),
+    p AS (SELECT anchor_id, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+    SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id)::INT AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score QUALIFY rank <= 10""",
 }

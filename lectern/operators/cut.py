@@ -3,29 +3,34 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written once in the shared checkpoint folder: plans that use them many times read them there.
-
-    Only a local session may go without spark.checkpoint.dir; it gets a folder of its own.
-    """
-    context = df.sparkSession.sparkContext
-    found = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        if not found and not context.master.startswith("local["):
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or in a local session without it one folder of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="lectern-"))
-    return df.checkpoint()
+        found = tempfile.mkdtemp(prefix="lectern-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
 
-def shared_folder(spark) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in a local session without it a folder of its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="lectern-")
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written once as Parquet in the shared folder: plans that use them many times read them there, with their sizes known."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote and nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

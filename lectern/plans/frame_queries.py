@@ -6,11 +6,15 @@ windows are within a user, so nothing is ordered globally.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import maths as M
 from lectern.functions.maths import round6
+from lectern.operators.cut import cut
+from lectern.operators.quantiles import quantiles
 from lectern.plans.catalog import query, table
 from lectern.streaming.online import online_segments  # noqa: F401
 
@@ -68,18 +72,23 @@ def scored(events: DataFrame, use_phash: bool = True) -> DataFrame:
     return f.withColumn("score", M.change_score(1 - F.col("ssim"), F.col("hash_gap"), F.col("d") / 100, F.col("d") / 200, use_phash))
 
 
-def robust(x: str, k: float) -> tuple:
-    """Median and median absolute deviation of a column need two passes: the columns of both, and the threshold of them."""
-    return F.median(x), F.median(F.abs(F.col(x) - F.col(f"m_{x}"))), F.col(f"m_{x}") + k * 1.4826 * (F.col(f"a_{x}") + 1e-9)
+def medians(rows: DataFrame, by: list[str], values: dict[str, Column], in_passes: bool) -> DataFrame:
+    """Exact medians by group: in one aggregation, which holds a group's distinct values in one task, or in passes that never do."""
+    if not in_passes:
+        return rows.groupBy(*by).agg(*[F.median(c).alias(name) for name, c in values.items()])
+    return quantiles(rows, by, values).select(*by, *[F.get(name, F.lit(0)).alias(name) for name in values])
 
 
-def thresholds(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Robust thresholds of each group, and the jumps that count as changes."""
+def thresholds(rows: DataFrame, by: list[str], in_passes: bool = False) -> DataFrame:
+    """Robust thresholds of each group (median and median absolute deviation), and the jumps that count as changes.
+
+    in_passes: for few groups, or ones that hold most rows.
+    """
     x = rows.select(*by, (1 - F.col("ssim")).alias("drop"), F.col("hash_gap").cast("double").alias("hash_gap"), "score")
     k = {"drop": 3.0, "hash_gap": 2.5, "score": 3.0}
-    med = x.groupBy(*by).agg(*[robust(c, v)[0].alias(f"m_{c}") for c, v in k.items()])
-    mad = x.join(med, by).groupBy(*by).agg(*[F.first(f"m_{c}").alias(f"m_{c}") for c in k], *[robust(c, v)[1].alias(f"a_{c}") for c, v in k.items()])
-    at = {c: robust(c, v)[2] for c, v in k.items()}
+    med = medians(x, by, {f"m_{c}": F.col(c) for c in k}, in_passes)
+    mad = med.join(medians(x.join(med, by), by, {f"a_{c}": F.abs(F.col(c) - F.col(f"m_{c}")) for c in k}, in_passes), by)
+    at = {c: F.col(f"m_{c}") + v * 1.4826 * (F.col(f"a_{c}") + 1e-9) for c, v in k.items()}
     base = mad.select(
         *by,
         M.clamp(at["drop"], 0.08, 0.60).alias("ssim_thr"),
@@ -148,6 +157,16 @@ def agg_thresholds(spark, sf):
     return t.select("video", *[round6(c).alias(c) for c in t.columns if c != "video"])
 
 
+_KINDS = _THRESHOLDS.replace("video", "event_type")
+
+
+@query("agg_skewed_thresholds", _with(_FRAMES, _KINDS) + "SELECT event_type, " + ", ".join(f"floor({c} * 1000000 + 0.5) / 1000000 AS {c}" for c in ("ssim_thr", "hash_thr", "score_thr", "jump_ssim", "jump_hash", "jump_score")) + " FROM thr")
+def agg_skewed_thresholds(spark, sf):
+    """Thresholds of a handful of groups, each of which may hold most frames: medians by selection in passes."""
+    t = thresholds(cut(scored(_events(spark, sf)).select("event_type", "ssim", "hash_gap", "score")), ["event_type"], in_passes=True)
+    return t.select("event_type", *[round6(c).alias(c) for c in t.columns if c != "event_type"])
+
+
 @query("agg_sample_step", _with(_FRAMES, _STEP) + "SELECT video, floor(step * 1000000 + 0.5) / 1000000 AS step FROM step")
 def agg_sample_step(spark, sf):
     return sample_step(frames(_events(spark, sf))).select("video", round6("step").alias("step"))
@@ -196,14 +215,30 @@ def win_best_row(spark, sf):
 
 
 def greedy_dedup(rows: DataFrame, by: list[str], most: int) -> DataFrame:
-    """In order of segments, a row stays if its hash differs from every kept one in more than `most` bits: a fold over each group's rows."""
-    ordered = F.array_sort(F.collect_list(F.struct("seg", "event_id", "phash")))
-    kept = F.aggregate(
-        ordered,
-        F.expr("cast(array() as array<struct<seg:bigint,event_id:bigint,phash:string>>)"),
-        lambda kept, row: F.when(F.exists(kept, lambda k: M.hamming64(k.phash, row.phash) <= most), kept).otherwise(F.concat(kept, F.array(row))),
-    )
-    return rows.groupBy(*by).agg(kept.alias("kept")).select(*by, F.inline("kept"))
+    """In order of segments, a row stays if its hash differs from every kept one in more than `most` bits.
+
+    Groups come sorted and stream through a task; its state is the hashes kept of one group, held against each row at once.
+    """
+
+    def kept(batches):
+        group, hashes, n = None, np.zeros(64, np.uint64), 0
+        for batch in batches:
+            stays = []
+            for row, (*own, phash) in enumerate(zip(*(c.to_pylist() for c in batch.select([*by, "phash"]).columns))):
+                if own != group:
+                    group, n = own, 0
+                h = np.uint64(int(phash, 16))
+                if n and (np.bitwise_count(hashes[:n] ^ h) <= most).any():
+                    continue
+                if n == len(hashes):
+                    hashes = np.concatenate([hashes, np.zeros(n, np.uint64)])
+                hashes[n] = h
+                n += 1
+                stays.append(row)
+            yield batch.take(pa.array(stays, pa.int64()))
+
+    ordered = rows.select(*by, "seg", "event_id", "phash").repartition(*by).sortWithinPartitions(*by, "seg", "event_id")
+    return ordered.mapInArrow(kept, ordered.schema)
 
 
 _DEDUP = """numbered AS (SELECT video, seg, event_id, ('0x' || phash)::UBIGINT AS h, row_number() OVER (PARTITION BY video ORDER BY seg) AS n FROM best),
@@ -257,17 +292,21 @@ def win_containment_chain(spark, sf):
 
 
 def smooth(rows: DataFrame, keep: float = 0.75) -> DataFrame:
-    """Exponential smoothing along each video's rows, an ordered fold."""
-    ordered = F.array_sort(F.collect_list(F.struct("idx", "value")))
-    fold = F.aggregate(
-        ordered,
-        F.expr("named_struct('last', cast(null as double), 'out', cast(array() as array<struct<idx:bigint,s:double>>))"),
-        lambda s, r: F.struct(
-            F.coalesce(keep * s.last + (1 - keep) * r.value, r.value).alias("last"),
-            F.concat(s.out, F.array(F.struct(r.idx.alias("idx"), F.coalesce(keep * s.last + (1 - keep) * r.value, r.value).alias("s")))).alias("out"),
-        ),
-    )
-    return rows.groupBy("video").agg(fold.alias("f")).select("video", F.inline("f.out"))
+    """Exponential smoothing along each video's rows (video, idx, value): they stream in order, and the last smoothed value is all a task remembers."""
+
+    def run(batches):
+        video, last = None, None
+        for batch in batches:
+            out = []
+            for v, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if v != video:
+                    video, last = v, None
+                last = x if last is None or x is None else keep * last + (1 - keep) * x
+                out.append(last)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["video", "idx", "s"])
+
+    ordered = rows.select("video", "idx", F.col("value").cast("double").alias("value")).repartition("video").sortWithinPartitions("video", "idx")
+    return ordered.mapInArrow(run, ordered.withColumnRenamed("value", "s").schema)
 
 
 @query("win_smooth", _with(_FRAMES).replace("WITH ", "WITH RECURSIVE ") + ", r AS (SELECT video, idx, value AS s FROM frames WHERE idx = 0 UNION ALL SELECT f.video, f.idx, 0.75::DOUBLE * r.s + 0.25::DOUBLE * f.value FROM r JOIN frames f ON f.video = r.video AND f.idx = r.idx + 1) SELECT video, idx, floor(s * 1000000 + 0.5) / 1000000 AS s FROM r")

@@ -9,6 +9,7 @@ from lectern.functions import maths as M
 from lectern.functions import text as T
 from lectern.functions.maths import round6
 from lectern.operators.intervals import nearest_in_time, within_intervals
+from lectern.operators.quantiles import quantiles
 from lectern.operators.ranking import pagerank
 from lectern.operators.sequence import decode_labels, merge_short, pack_windows
 from lectern.plans.catalog import query, spread, table
@@ -76,7 +77,8 @@ def agg_box_areas(spark, sf):
 
 @query("agg_median_box", "SELECT o_orderstatus, floor(median(o_totalprice))::BIGINT AS x, floor(median(o_custkey))::BIGINT AS y FROM orders GROUP BY 1")
 def agg_median_box(spark, sf):
-    return table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.floor(F.median("o_totalprice")).alias("x"), F.floor(F.median("o_custkey")).alias("y"))
+    q = quantiles(table(spark, sf, "orders"), ["o_orderstatus"], {"x": F.col("o_totalprice"), "y": F.col("o_custkey")})
+    return q.select("o_orderstatus", *[F.floor(F.get(c, F.lit(0))).alias(c) for c in "xy"])
 
 
 @query("agg_ordered_text", "SELECT conv_id, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS h, count(*) AS n FROM conversations GROUP BY 1")

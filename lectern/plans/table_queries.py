@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import maths as M
 from lectern.functions import text as T
 from lectern.functions.maths import round6
+from lectern.operators.cut import shared_folder
 from lectern.operators.intervals import nearest_in_time, within_intervals
 from lectern.operators.quantiles import quantiles
 from lectern.operators.ranking import pagerank
@@ -15,6 +18,7 @@ from lectern.operators.sequence import decode_labels, merge_short, pack_windows
 from lectern.plans.catalog import query, spread, table
 from lectern.plans.frame_queries import _FRAMES, _MARKED, _THRESHOLDS, _events, _marked, _with, frames
 from lectern.plans.text_queries import _sentences, _tokens
+from lectern.streaming.decoding import online_labels
 
 # --- reports -----------------------------------------------------------------
 
@@ -238,6 +242,7 @@ def top_worst_best(spark, sf):
 _ITEMS = f"""items AS (SELECT doc_id, i, length(s) AS n, (sum(length(s)) OVER w - length(s)) / 15.0::DOUBLE AS a, sum(length(s)) OVER w / 15.0::DOUBLE AS b FROM
     (SELECT doc_id, u.s, u.i FROM (SELECT doc_id, {_sentences('text')} AS ss FROM documents), LATERAL (SELECT unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS i) u) WINDOW w AS (PARTITION BY doc_id ORDER BY i))"""
 
+_WALK = "walk AS (SELECT doc_id, i, 1::BIGINT AS win, a AS start, b AS fin, n AS len FROM items WHERE i = 0 UNION ALL SELECT x.doc_id, x.i, CASE WHEN done THEN w.win + 1 ELSE w.win END, CASE WHEN done THEN x.a ELSE w.start END, x.b, CASE WHEN done THEN x.n ELSE w.len + 1 + x.n END FROM (SELECT *, (fin - start >= 20 AND len >= 350) OR fin - start >= 55 OR len >= 1400 AS done FROM walk) w JOIN items x ON x.doc_id = w.doc_id AND x.i = w.i + 1)"
 
 def items(spark, sf) -> DataFrame:
     """Sentences of each document as timed transcript items, fifteen characters a second."""
@@ -249,18 +254,55 @@ def items(spark, sf) -> DataFrame:
 
 @query(
     "seq_pack_windows",
-    f"WITH RECURSIVE {_ITEMS}, walk AS (SELECT doc_id, i, 1::BIGINT AS win, a AS start, b AS fin, n AS len FROM items WHERE i = 0 UNION ALL SELECT x.doc_id, x.i, CASE WHEN done THEN w.win + 1 ELSE w.win END, CASE WHEN done THEN x.a ELSE w.start END, x.b, CASE WHEN done THEN x.n ELSE w.len + 1 + x.n END FROM (SELECT *, (fin - start >= 20 AND len >= 350) OR fin - start >= 55 OR len >= 1400 AS done FROM walk) w JOIN items x ON x.doc_id = w.doc_id AND x.i = w.i + 1) SELECT doc_id, win, min(i) AS first, max(i) AS last FROM walk GROUP BY ALL",
+    f"WITH RECURSIVE {_ITEMS}, {_WALK} SELECT doc_id, win, min(i) AS first, max(i) AS last FROM walk GROUP BY ALL",
 )
 def seq_pack_windows(spark, sf):
     return pack_windows(items(spark, sf)).select("doc_id", "win", "first", "last")
 
 
-@query("seq_decode_labels")
+_VOWELS = "aeiou"
+_COUNTED = _ITEMS.replace("length(s) AS n,", "length(s) AS n, " + ", ".join(f"length(s) - length(replace(s, '{v}', '')) AS c{k}" for k, v in enumerate(_VOWELS)) + ",")
+_STAY, _STEP = [f"(s{j} + 0.08::DOUBLE)" for j in range(5)], [f"(s{j - 1} - 0.02::DOUBLE)" for j in range(5)]
+#: Forward scores by window, and whether each label was stepped up to; then the way back from the last window's label.
+_DECODED = f"""WITH RECURSIVE {_COUNTED}, {_WALK},
+    counts AS MATERIALIZED (SELECT doc_id, win, {", ".join(f"sum(c{k}) AS c{k}" for k in range(5))} FROM walk JOIN items USING (doc_id, i) GROUP BY ALL),
+    e AS MATERIALIZED (SELECT doc_id, win, count(*) OVER (PARTITION BY doc_id) AS n, {", ".join(f"ln(greatest((1 + c{k}) / (5 + c0 + c1 + c2 + c3 + c4)::DOUBLE, 1e-9::DOUBLE)) AS e{k}" for k in range(5))} FROM counts),
+    f AS (SELECT doc_id, win, n, {", ".join(f"CASE WHEN n >= 5 THEN {'e0' if k == 0 else '-1e18::DOUBLE'} ELSE e{k} - 0.4::DOUBLE * {k} END AS s{k}" for k in range(5))}, {", ".join(f"FALSE AS u{k}" for k in range(5))} FROM e WHERE win = 1
+    UNION ALL SELECT e.doc_id, e.win, e.n, {", ".join(_STAY[k] + f" + e{k}" if k == 0 else f"CASE WHEN {_STEP[k]} > {_STAY[k]} THEN {_STEP[k]} ELSE {_STAY[k]} END + e{k}" for k in range(5))}, FALSE, {", ".join(f"{_STEP[k]} > {_STAY[k]}" for k in range(1, 5))} FROM f JOIN e ON e.doc_id = f.doc_id AND e.win = f.win + 1),
+    back AS (SELECT doc_id, win, CASE WHEN n >= 5 THEN 4 ELSE list_position([s0, s1, s2, s3, s4], greatest(s0, s1, s2, s3, s4)) - 1 END::BIGINT AS label FROM f WHERE win = n
+    UNION ALL SELECT f.doc_id, f.win - 1, back.label - [u0, u1, u2, u3, u4][back.label + 1]::BIGINT FROM back JOIN f ON f.doc_id = back.doc_id AND f.win = back.win WHERE f.win > 1)
+    SELECT doc_id, win, label FROM back"""
+
+
+def labelled_windows(spark, sf) -> DataFrame:
+    """Windows (doc_id, win, fin, probs) of the documents, with a probability for each of five sections: its vowel's share of the window."""
+    w = pack_windows(items(spark, sf).select("doc_id", "i", "n", "a", "b", "text"), with_text=True)
+    c = [F.length("text") - F.length(F.replace("text", F.lit(v))) for v in _VOWELS]
+    return w.select("doc_id", "win", "fin", F.array(*[(1 + x) / (5 + sum(c)).cast("double") for x in c]).alias("probs"))
+
+
+@query("seq_decode_labels", _DECODED)
 def seq_decode_labels(spark, sf):
-    """Ordered section labels of the windows of each document against five pseudo sections: no SQL, tested against a plain version."""
-    w = pack_windows(items(spark, sf)).select("doc_id", "win", "first")
-    probs = w.withColumn("probs", F.array(*[(F.pmod(F.xxhash64("doc_id", "win", F.lit(k)), F.lit(1000)) + 1).cast("double") / 1001 for k in range(5)]))
-    return decode_labels(probs, 5)
+    """Ordered section labels of the windows of each document."""
+    return decode_labels(labelled_windows(spark, sf), 5)
+
+
+@query("seq_stream_labels", _DECODED)
+def seq_stream_labels(spark, sf):
+    """The same labels from a stream: windows come as files, four a batch, and a lag over the whole lecture settles them when event time has passed it."""
+    folder = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
+    ts = F.timestamp_seconds(F.col("fin"))
+    rows = labelled_windows(spark, sf).select("doc_id", "win", ts.alias("ts"), "probs")
+    rows.repartition(16, "doc_id", "win").write.parquet(f"{folder}/in/lectures")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in/*")
+    # files come in any order, so no window counts as late
+    labels = online_labels(stream, 5, lag=1_000_000, late="100 years").where("doc_id IS NOT NULL").select("doc_id", "win", "label")
+    write = labels.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    write.start().awaitTermination()
+    # a row from far ahead lets event time pass all lectures
+    spark.range(1).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "id AS win", "TIMESTAMP '2200-01-01 00:00:00' AS ts", "array(0.5D) AS probs").write.parquet(f"{folder}/in/end")
+    write.start().awaitTermination()
+    return spark.read.schema(labels.schema).parquet(f"{folder}/out")
 
 
 @query("seq_merge_short")

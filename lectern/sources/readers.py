@@ -18,18 +18,43 @@ LABELLED = ("variant_name", "row_type", "is_true_positive", "fn_count")
 _LINE = r"^\[(\d+(?:\.\d+)?)\s*-\s*(\d+(?:\.\d+)?)\]\s*(.*)$"
 
 
+def split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, file, block, line) of text files that Spark cuts into byte ranges (blocks), whole lines each. Folders named key=value add their keys."""
+    raw = spark.read.option("lineSep", "\n").text(path)
+    folders = [c for c in raw.columns if c != "value"]
+    m = F.col("_metadata")
+    return raw.select(*folders, m["file_path"].alias("path"), m["file_name"].alias("file"), m["file_block_start"].alias("block"), F.regexp_replace("value", "\r$", "").alias("line"))
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of split_lines, also filtered ones, with their number from 0 within their file.
+
+    A block's rows have running ids; where a block begins in its file follows from the counts of the blocks
+    before it, one row a block. So no file is in one task, however large, and no row is sorted.
+    """
+    ids = rows.withColumn("_id", F.monotonically_increasing_id())
+    blocks = ids.groupBy("path", "block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = blocks.select("path", "block", (before - F.col("_first")).alias("_shift"))
+    return ids.join(shift, ["path", "block"]).withColumn(name, F.col("_id") + F.col("_shift")).drop("_id", "_shift")
+
+
 def transcript(spark: SparkSession, path: str) -> DataFrame:
     """(file, item_idx, start, end, center, text) of lines `[start-end] text`; other lines and empty texts are skipped.
 
-    A transcript file is read as one row, so its lines keep their order. Folders named key=value add their keys as columns.
+    Files are split: one of many gigabytes is read by many tasks. Folders named key=value add their keys as columns.
     """
-    raw = spark.read.text(path, wholetext=True)
-    folders = [c for c in raw.columns if c != "value"]
-    lines = raw.select(*folders, F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
-    parsed = lines.select(*folders, "path", "file", "pos", *[F.regexp_extract("line", _LINE, k).alias(n) for k, n in ((1, "s"), (2, "e"), (3, "t"))]).where("s <> ''")
-    item = parsed.select(*folders, "path", "file", "pos", F.col("s").cast("double").alias("start"), F.col("e").cast("double").alias("end"), clean_text(F.col("t")).alias("text")).where("text <> ''")
-    w = Window.partitionBy("path").orderBy("pos")
-    return item.select(*folders, "file", (F.row_number().over(w) - 1).alias("item_idx"), "start", "end", ((F.col("start") + F.col("end")) / 2).alias("center"), "text")
+    lines = split_lines(spark, path)
+    folders = [c for c in lines.columns if c not in ("path", "file", "block", "line")]
+    item = numbered(transcript_items(lines), "item_idx")
+    return item.select(*folders, "file", F.col("item_idx").cast("int").alias("item_idx"), "start", "end", ((F.col("start") + F.col("end")) / 2).alias("center"), "text")
+
+
+def transcript_items(lines: DataFrame) -> DataFrame:
+    """Lines (line, ...) of the form `[start-end] text`, with start, end and their cleaned text in the line's place."""
+    others = [c for c in lines.columns if c != "line"]
+    parsed = lines.select(*others, *[F.regexp_extract("line", _LINE, k).alias(n) for k, n in ((1, "s"), (2, "e"), (3, "t"))]).where("s <> ''")
+    return parsed.select(*others, F.col("s").cast("double").alias("start"), F.col("e").cast("double").alias("end"), clean_text(F.col("t")).alias("text")).where("text <> ''")
 
 
 def ocr_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -55,10 +80,14 @@ def normalise_frames(frames: DataFrame, cropped: DataFrame) -> DataFrame:
 
 
 def timings(spark: SparkSession, path: str) -> DataFrame:
-    """(start, text, end) of files of four lines a record: start, text, end (hundredths of a second) and a blank."""
-    lines = spark.read.text(path, wholetext=True).select(F.split("value", "\r?\n").alias("l"))
-    at = F.explode(F.expr("sequence(0, size(l) - 1, 4)"))
-    rows = lines.select("l", at.alias("i")).select(F.get("l", F.col("i")).try_cast("long").alias("start"), F.get("l", F.col("i") + 1).alias("text"), F.get("l", F.col("i") + 2).try_cast("long").alias("end"))
+    """(start, text, end) of files of four lines a record: start, text, end (hundredths of a second) and a blank.
+
+    Lines are numbered across the splits of a file and meet by record, so a record may lie in two splits.
+    """
+    lines = numbered(split_lines(spark, path), "n")
+    place = lambda k, name: F.max(F.when(F.col("n") % 4 == k, F.col("line"))).alias(name)
+    records = lines.groupBy("path", F.floor(F.col("n") / 4).alias("record")).agg(place(0, "a"), place(1, "text"), place(2, "b"))
+    rows = records.select(F.col("a").try_cast("long").alias("start"), "text", F.col("b").try_cast("long").alias("end"))
     return rows.where("start IS NOT NULL AND end IS NOT NULL")
 
 

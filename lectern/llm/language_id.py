@@ -6,8 +6,9 @@ language's: an n-gram costs the distance of its two ranks, one that the language
 lacks costs PROFILE. The language with the least sum wins, the first by name on
 ties; the score is how far the next one lies behind, relative to it.
 
-Profiles are counted over all learning documents. Letters are A-Z in lower case and
-the bytes of every non-ASCII character, in 7-bit symbols; other characters bound words.
+Profiles are counted over all learning documents. Only letters count (Unicode's, of any script): A-Z in lower
+case and the bytes of every other letter, in 7-bit symbols; all other characters, punctuation and digits of any script
+and signs included, bound words.
 
 A task holds the counts of the n-grams that it has met, and of the profiles just the
 n-grams they list: memory follows the languages' profiles, not the space of codes.
@@ -37,6 +38,11 @@ _SYMBOL[128:] = 27 + np.arange(128) % 101
 _CODE_BITS = 23  # two bits for n, 21 for three symbols
 
 
+def letters(text: str = "text"):
+    """A text's letters, with a space for each run of anything else."""
+    return F.regexp_replace(text, r"[^\p{L}]+", " ").alias("text")
+
+
 def ngram_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, code, count) of the distinct n-grams of every row."""
     rows = len(offsets) - 1
@@ -109,7 +115,7 @@ def fit(documents: DataFrame, profile: int = PROFILE) -> dict[str, np.ndarray]:
         known = np.array(list(names), object)
         yield pa.RecordBatch.from_arrays([pa.array(known[keys >> _CODE_BITS] if len(keys) else [], pa.string()), pa.array(keys & ((1 << _CODE_BITS) - 1)), pa.array(n)], names=["lang", "code", "n"])
 
-    counts = documents.select("text", "lang").mapInArrow(in_task(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = documents.select(letters(), "lang").mapInArrow(in_task(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     # Spark keeps the first rows of each language before the shuffle, so a task gets profile rows from each at most
     first = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("rank") <= profile)
     out: dict[str, list] = {}
@@ -150,7 +156,7 @@ def predict(documents: DataFrame, profiles: dict[str, np.ndarray], profile: int
                     score[some] = np.where(second > 0, 1 - order[0] / np.maximum(second, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n).cast(pa.int64()), pa.array(label, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return documents.select("doc_id", "text").mapInArrow(in_task(run), "doc_id long, lang_pred string, score double")
+    return documents.select("doc_id", letters()).mapInArrow(in_task(run), "doc_id long, lang_pred string, score double")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

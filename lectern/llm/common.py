@@ -69,6 +69,11 @@ def discard(*saved: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def quoted(names: list[str]) -> list[str]:
+    """Column names for select(), whatever characters they have."""
+    return ["`" + c.replace("`", "``") + "`" for c in names]
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

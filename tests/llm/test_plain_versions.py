@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -18,7 +19,7 @@ from lectern.llm import decontamination, embedding_dedup, jaccard_join, language
 
 
 def plain_profile(texts, k):
-    """The k most frequent n-grams of bytes (letters and non-ASCII, boundaries between), as the codes that ties go by."""
+    """The k most frequent n-grams of the bytes of letters (boundaries between), as the codes that ties go by."""
     symbol = [0] * 256
     for c in range(26):
         symbol[65 + c] = symbol[97 + c] = c + 1
@@ -27,7 +28,7 @@ def plain_profile(texts, k):
     n = Counter()
     for t in texts:
         body = [0]
-        for x in [*(symbol[b] for b in t.encode()), 0]:
+        for x in [*(symbol[b] if unicodedata.category(c)[0] == "L" else 0 for c in t for b in c.encode()), 0]:
             if x or body[-1]:
                 body.append(x)
         for a in body:
@@ -43,7 +44,7 @@ def test_language_id_against_plain_profiles(spark, docs):
     r = random.Random(1)
     words = {"en": "the of and a to in is you that it".split(), "fr": "le de un à être et en avoir que pour".split(), "xx": "zq qz zzq qqz zqz".split()}
     rows = [(i, " ".join(r.choices(words[lang], k=r.randint(1, 30))), lang) for i, lang in enumerate(r.choices(list(words), k=60))]
-    rows += [(60, None, "en"), (61, "12 34", "en"), (62, "le", None), (63, "É!", None)]
+    rows += [(60, None, "en"), (61, "12 34", "en"), (62, "le", None), (63, "É!", None), (64, "é—le «un» 12€ x٣y", "fr")]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     learn = d.where("lang IS NOT NULL AND text IS NOT NULL")
     for size in (20, 300):
@@ -58,6 +59,15 @@ def test_language_id_against_plain_profiles(spark, docs):
             assert math.isclose(got[i].score, 1 - far[0][0] / max(far[1][0], 1) if own and far[1][0] else 0.0, abs_tol=1e-12)
 
 
+def test_texts_without_a_letter_have_no_language(spark, docs):
+    odd = ["———", "😀😀", "١٢٣", "«»…", "€ 20", "", None, " \n", "\u0301\u0300", "½ ² №"]
+    lettered = ["É", "ß!", "日本", "ªb", "x"]
+    profiles = language_id.fit(docs(["the of — and 😀", "to in €"]), 50)
+    got = [r.lang_pred for r in sorted(language_id.predict(docs(odd + lettered), profiles, 50).collect(), key=lambda r: r.doc_id)]
+    assert got == ["und"] * len(odd) + ["en"] * len(lettered)
+    assert all(unicodedata.category(c)[0] != "L" for t in odd for c in t or "")
+
+
 # --- quality -----------------------------------------------------------------------
 
 
@@ -239,6 +249,42 @@ def test_windows_between_alignments(spark, docs):
     assert got == want and 15 < len(want) < 105
 
 
+def test_unequal_weights(spark, docs):
+    """One long word that differs, or many short ones beside long ones that stay, near the threshold: no pair is lost."""
+    r = random.Random(21)
+    word = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    grams = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    size = lambda c: sum(n * sum(map(len, g)) for g, n in c.items())
+    items, texts = [], []
+    while len(items) < 250:
+        n, long = r.randint(18, 120), r.randint(10, 120)
+        item = [word(r.randint(1, 12)) for _ in range(n)]
+        at = r.randrange(n)
+        other = list(item)
+        if len(items) % 2:
+            item[at], other[at] = word(long), word(long)
+        else:
+            item[at] = other[at] = word(long)
+            for k in r.sample(range(n), r.randint(1, 4)):
+                other[k] = other[k] if k == at else word(2)
+        a, b = grams(item), grams(other)
+        if 0.8 <= size(a & b) / size(a | b) < 0.84:
+            items.append(item)
+            texts.append(other)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    found = decontamination.find(docs([" ".join(w) for w in texts]), bench).collect()
+    assert {(x.doc_id, x.item_id) for x in found} == {(k, k) for k in range(250)}
+    assert max(x.hamming for x in found) <= decontamination.RADIUS
+
+
+def test_names_with_dots_go_through(spark, docs):
+    wide = docs(["one two three four five six seven", "other text altogether, of some words"]).withColumn("a.b", F.lit(1)).withColumn("c`d", F.lit(2))
+    bench = spark.createDataFrame([(0, "one two three four five six seven")], "item_id long, text string")
+    out = decontamination.decontaminate(wide, bench)
+    assert out.columns == wide.columns and [x.doc_id for x in out.collect()] == [1]
+    assert jaccard_join.keep_first(wide).count() == 2
+
+
 # --- rows that repeat, names that clash ------------------------------------------------
 
 

@@ -37,10 +37,53 @@ def gradients(gray: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return along(along(x, slope, 1), smooth, 0), along(along(x, slope, 0), smooth, 1)
 
 
-def edge_density(gray: np.ndarray, threshold: float = 140.0) -> float:
-    """Share of pixels with a strong gradient: edges without their thinning."""
-    gx, gy = gradients(gray)
-    return float((np.abs(gx) + np.abs(gy) > threshold).mean())
+def thin(gx: np.ndarray, gy: np.ndarray) -> np.ndarray:
+    """Strength of the gradient where it is the largest across its edge, else 0: of two equal neighbours the first stays."""
+    force = np.abs(gx) + np.abs(gy)
+    wide = np.pad(force, 1)
+    at = lambda dy, dx: wide[1 + dy : wide.shape[0] - 1 + dy, 1 + dx : wide.shape[1] - 1 + dx]
+    slope = np.tan(np.pi / 8)
+    flat, steep = np.abs(gy) < slope * np.abs(gx), np.abs(gx) < slope * np.abs(gy)
+    falling = gx * gy > 0
+    sides = [(flat, (0, 1)), (steep, (1, 0)), (~flat & ~steep & falling, (1, 1)), (~flat & ~steep & ~falling, (1, -1))]
+    stays = np.zeros(force.shape, bool)
+    for here, (dy, dx) in sides:
+        stays |= here & (force > at(-dy, -dx)) & (force >= at(dy, dx))
+    return np.where(stays, force, 0.0)
+
+
+def regions(mask: np.ndarray) -> np.ndarray:
+    """The number of each set pixel's region (the smallest place in it; -1 outside): pixels that touch by side or corner, joined by union-find over all pairs at once."""
+    number = np.arange(mask.size).reshape(mask.shape)
+    pairs = []
+    for here, there in ((np.s_[:, :-1], np.s_[:, 1:]), (np.s_[:-1], np.s_[1:]), (np.s_[:-1, :-1], np.s_[1:, 1:]), (np.s_[:-1, 1:], np.s_[1:, :-1])):
+        both = mask[here] & mask[there]
+        pairs.append((number[here][both], number[there][both]))
+    a, b = (np.concatenate(c) for c in zip(*pairs))
+    root = number.ravel()
+    while True:
+        low = np.minimum(root[a], root[b])
+        nxt = root.copy()
+        # the larger root of each pair points to the smaller one
+        np.minimum.at(nxt, root[a], low)
+        np.minimum.at(nxt, root[b], low)
+        while (nxt[nxt] != nxt).any():
+            nxt = nxt[nxt]
+        if (nxt == root).all():
+            return np.where(mask, root.reshape(mask.shape), -1)
+        root = nxt
+
+
+def edges(gray: np.ndarray, low: float = 60.0, high: float = 160.0) -> np.ndarray:
+    """Thin edges: regions of pixels above `low` that have one above `high`."""
+    force = thin(*gradients(gray))
+    region = regions(force > low)
+    strong = np.unique(region[force > high])
+    return (region >= 0) & np.isin(region, strong)
+
+
+def edge_density(gray: np.ndarray, low: float = 60.0, high: float = 160.0) -> float:
+    return float(edges(gray, low, high).mean())
 
 
 def entropy(gray: np.ndarray) -> float:
@@ -59,11 +102,42 @@ def best_threshold(values: np.ndarray) -> int:
     return int(np.nanargmax(np.where(below * above > 0, apart, -1.0)))
 
 
-def textness(gray: np.ndarray) -> float:
-    """Share of pixels with strong horizontal change, as strokes of letters have."""
-    g = np.abs(gradients(gray)[0])
-    scaled = (255 * g / (g.max() + 1e-9)).astype(int)
-    return float((scaled > best_threshold(scaled)).mean())
+def running(x: np.ndarray, size: int, axis: int, pick: np.ufunc) -> np.ndarray:
+    """The largest (np.maximum) or smallest (np.minimum) value of the window of `size` around each place, in linear time.
+
+    Blocks as long as the window are gone through from both ends; any window is the end of one block and the beginning of the next.
+    """
+    x = np.moveaxis(x.astype(float), axis, -1)
+    n, none = x.shape[-1], -np.inf if pick is np.maximum else np.inf
+    before = size // 2
+    total = -(-(n + size - 1) // size) * size
+    wide = np.full((*x.shape[:-1], total), none)
+    wide[..., before : before + n] = x
+    blocks = wide.reshape(*x.shape[:-1], -1, size)
+    onward = pick.accumulate(blocks, axis=-1).reshape(wide.shape)
+    back = pick.accumulate(blocks[..., ::-1], axis=-1)[..., ::-1].reshape(wide.shape)
+    return np.moveaxis(pick(back[..., :n], onward[..., size - 1 : size - 1 + n]), -1, axis)
+
+
+def dilated(x: np.ndarray, height: int, width: int) -> np.ndarray:
+    return running(running(x, width, 1, np.maximum), height, 0, np.maximum)
+
+
+def eroded(x: np.ndarray, height: int, width: int) -> np.ndarray:
+    return running(running(x, width, 1, np.minimum), height, 0, np.minimum)
+
+
+def closed(x: np.ndarray, height: int, width: int) -> np.ndarray:
+    return eroded(dilated(x, height, width), height, width)
+
+
+def textness(gray: np.ndarray, height: int = 5, width: int = 15) -> float:
+    """Share of pixels in text: dark strokes narrower than the window, by their horizontal change, closed up to words, specks left out."""
+    gray = gray.astype(float)
+    g = np.abs(gradients(closed(gray, height, width) - gray)[0])
+    scaled = (255 * (g / (g.max() + 1e-9))).astype(int)
+    words = closed(scaled > best_threshold(scaled), height, width)
+    return float((dilated(eroded(words, 3, 3), 3, 3) > 0).mean())
 
 
 def box_means(x: np.ndarray, size: int) -> np.ndarray:

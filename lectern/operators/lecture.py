@@ -119,7 +119,10 @@ def build_segments(items: DataFrame, classified: DataFrame, plan: DataFrame, lea
     bounds = windows.withColumn("ends", changed).where("ends").select("doc_id", F.col("last").alias("i"))
     segs = cut(_ranges(items, bounds, least))
     both = F.least("fin", "e") - F.greatest("start", "s")
-    over = segs.join(windows.select("doc_id", "win", "label", "s", "e"), "doc_id").withColumn("both", both).where("both > 0")
+    # segments and windows meet by the minutes that they lie in, each pair in the first minute of both
+    minutes = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / 60), F.floor(F.greatest(a, b) / 60))).alias("minute")
+    spans = segs.select("*", minutes("start", "fin")).join(windows.select("doc_id", "win", "label", "s", "e", minutes("s", "e")), ["doc_id", "minute"])
+    over = spans.where(F.col("minute") == F.floor(F.greatest("start", "s") / 60)).withColumn("both", both).where("both > 0")
     sums = over.groupBy("doc_id", "seg", "label").agg(F.sum("both").alias("both"), F.min("win").alias("win"))
     best = sums.groupBy("doc_id", "seg").agg(F.min_by("label", F.struct(-F.round("both", 6), F.col("win"))).alias("section"))
     out = segs.join(best, ["doc_id", "seg"], "left").withColumn("section", F.coalesce("section", F.lit(0)).cast("int"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions.markup import VIDEO_SUFFIXES
+from lectern.operators.layout import laid_out
 from lectern.plans.catalog import query, table
 from lectern.plans.geometry_queries import r6
 
@@ -209,3 +210,21 @@ def orm_admin_list(spark, sf):
     o = table(spark, sf, "orders").where(F.col("o_orderstatus").isin("F", "P")).select("o_orderkey", "o_orderstatus", "o_orderpriority", F.col("o_custkey").alias("c_custkey"))
     j = o.join(table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey")
     return j.where(F.lower("c_name").contains("7") | F.lower("o_orderpriority").contains("high")).select("o_orderkey", "c_name", "o_orderstatus")
+
+
+@query("orm_layout", "SELECT c_custkey, c_mktsegment, o_orderkey, place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders) JOIN customer ON c_custkey = o_custkey WHERE place <= 3")
+def orm_layout(spark, sf):
+    """Each owner's three newest notes beside the owner, from tables laid out by owner: the query itself moves no row."""
+    return newest(*owner_tables(spark, sf), 3)
+
+
+def owner_tables(spark, sf, buckets: int = 8):
+    notes = table(spark, sf, "orders").select(F.col("o_custkey").alias("owner"), "o_orderkey", "o_orderdate")
+    owners = table(spark, sf, "customer").select(F.col("c_custkey").alias("owner"), "c_mktsegment")
+    return laid_out(notes, ["owner"], ["o_orderdate"], buckets), laid_out(owners, ["owner"], [], buckets)
+
+
+def newest(notes, owners, n: int):
+    w = Window.partitionBy("owner").orderBy(F.desc("o_orderdate"), "o_orderkey")
+    ranked = notes.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= n)
+    return ranked.hint("merge").join(owners, "owner").select(F.col("owner").alias("c_custkey"), "c_mktsegment", "o_orderkey", "place")

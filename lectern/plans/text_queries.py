@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators.cut import cut
+from lectern.operators.lemmas import EXCEPTIONS, RULES, lemmas
 from lectern.plans.catalog import query, spread, table
 
 _EDGE = r"'^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g'"
@@ -250,3 +252,18 @@ def mth_sparse_cosine(spark, sf):
     nb = b.groupBy("item_id").agg(F.sqrt(F.sum(F.col("y") * F.col("y")).cast("double")).alias("nb"))
     dots = a.join(b, "token").groupBy("doc_id", "item_id").agg(F.sum(F.col("x") * F.col("y")).cast("double").alias("dot"))
     return dots.join(na, "doc_id").join(nb, "item_id").select("doc_id", "item_id", F.bround(F.col("dot") / (F.col("na") * F.col("nb")), 6).alias("cos"))
+
+
+#: Endings of English words, and words that have none of them. Fixed values of the query; the operator takes any.
+_RULES = (("ies", "y", 2), ("sses", "ss", 1), ("ing", "", 3), ("tions", "tion", 2), ("ed", "", 3), ("es", "e", 3), ("s", "", 3))
+_IRREGULAR = (("is", "be"), ("was", "be"), ("are", "be"), ("this", "this"), ("his", "he"), ("thing", "thing"))
+_LEMMA = "CASE " + " ".join(f"WHEN w = '{a}' THEN '{b}'" for a, b in _IRREGULAR) + " " + " ".join(f"WHEN ends_with(w, '{s}') AND length(w) - {len(s)} >= {n} THEN left(w, length(w) - {len(s)}) || '{e}'" for s, e, n in sorted(_RULES, key=lambda r: -len(r[0]))) + " ELSE w END"
+
+
+@query("str_lemmas", f"SELECT lemma, count(*) AS n, count(DISTINCT w) AS forms FROM (SELECT w, {_LEMMA} AS lemma FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents)) GROUP BY 1")
+def str_lemmas(spark, sf):
+    """How often each lemma stands in all documents, and in how many forms: words are counted first, so rules meet distinct words only."""
+    words = _docs(spark, sf).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("word"))
+    n = cut(words.groupBy("word").agg(F.count("*").alias("n")))
+    found = lemmas(n, spark.createDataFrame(_RULES, RULES), spark.createDataFrame(_IRREGULAR, EXCEPTIONS))
+    return n.join(found, "word").groupBy("lemma").agg(F.sum("n").alias("n"), F.count("*").alias("forms"))

@@ -104,6 +104,56 @@ def test_entropy_threshold_and_text(picture):
     assert I.textness(np.zeros((8, 8))) == 0
 
 
+def test_running_windows(picture):
+    for size in (1, 2, 3, 5, 15, 60):
+        for axis in (0, 1):
+            got = I.running(picture, size, axis, np.maximum)
+            x = np.moveaxis(picture.astype(float), axis, -1)
+            want = np.stack([x[..., max(0, i - size // 2) : i - size // 2 + size].max(-1) for i in range(x.shape[-1])], -1)
+            assert (np.moveaxis(got, axis, -1) == want).all()
+    assert (I.eroded(picture, 3, 5) == -I.dilated(-picture.astype(float), 3, 5)).all()
+
+
+def test_regions(picture):
+    for share in (0.2, 0.4, 0.6):
+        mask = picture < 255 * share
+        got, seen = I.regions(mask), -np.ones(mask.shape, int)
+        for y, x in zip(*np.nonzero(mask)):
+            if seen[y, x] >= 0:
+                continue
+            number, todo = y * mask.shape[1] + x, [(y, x)]
+            seen[y, x] = number
+            while todo:
+                a, b = todo.pop()
+                for c in range(max(0, a - 1), min(mask.shape[0], a + 2)):
+                    for d in range(max(0, b - 1), min(mask.shape[1], b + 2)):
+                        if mask[c, d] and seen[c, d] < 0:
+                            seen[c, d] = number
+                            todo.append((c, d))
+        assert (got == seen).all()
+    assert (I.regions(np.zeros((3, 4), bool)) == -1).all()
+
+
+def test_thin_edges(picture):
+    gx, gy = I.gradients(picture)
+    force, kept = np.abs(gx) + np.abs(gy), I.thin(gx, gy)
+    h, w = force.shape
+    value = lambda y, x: force[y, x] if 0 <= y < h and 0 <= x < w else 0.0
+    for y in range(h):
+        for x in range(w):
+            angle = np.degrees(np.arctan2(gy[y, x], gx[y, x])) % 180
+            dy, dx = (0, 1) if angle < 22.5 or angle > 157.5 else (1, 1) if angle < 67.5 else (1, 0) if angle < 112.5 else (1, -1)
+            top = force[y, x] > value(y - dy, x - dx) and force[y, x] >= value(y + dy, x + dx)
+            assert kept[y, x] == (force[y, x] if top else 0)
+    step = np.zeros((9, 20), np.uint8)
+    step[:, 10:] = 30 + 2 * np.arange(9)[:, None]
+    force = I.thin(*I.gradients(step))
+    assert 60 < force[0].max() < 160 < force[8].max()  # weak at one end of the edge, strong at the other
+    found = I.edges(step)
+    assert found.sum(1).max() == 1 and found.any(1).all()
+    assert not I.edges(np.where(step > 0, 30, 0)).any()
+
+
 def test_likeness(picture):
     assert math.isclose(I.likeness(picture, picture), 1.0)
     other = picture[::-1]

@@ -312,15 +312,23 @@ def seq_merge_short(spark, sf):
     return merge_short(w, 30.0)
 
 
-@query("txt_pagerank")
+@query(
+    "txt_pagerank",
+    f"""WITH RECURSIVE tk AS (SELECT DISTINCT item_id, unnest({_tokens('text')}) AS token FROM benchmark), n AS (SELECT item_id, count(*) AS n FROM tk GROUP BY 1),
+    e AS MATERIALIZED (SELECT src, dst, both_ / (x.n + y.n)::DOUBLE AS weight FROM (SELECT a.item_id AS src, b.item_id AS dst, count(*) AS both_ FROM tk a JOIN tk b ON a.token = b.token AND a.item_id <> b.item_id GROUP BY ALL) JOIN n x ON x.item_id = src JOIN n y ON y.item_id = dst),
+    step AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM e), nodes AS (SELECT src AS node, count(*) OVER () AS n FROM (SELECT DISTINCT src FROM step)),
+    ranks AS (SELECT node, n, 1.0::DOUBLE / n AS rank, 0 AS k FROM nodes UNION ALL SELECT s.dst, any_value(r.n), (1 - 0.85::DOUBLE) / any_value(r.n) + 0.85::DOUBLE * sum(r.rank * s.share), r.k + 1 FROM ranks r JOIN step s ON s.src = r.node WHERE r.k < 12 GROUP BY s.dst, r.k)
+    SELECT node, floor(rank * 1000000 + 0.5) / 1000000 AS rank FROM ranks WHERE k = 12""",
+)
 def txt_pagerank(spark, sf):
-    """Centrality of plan sections that share words: no SQL for the iteration, tested against a plain version."""
+    """Centrality of plan sections that share words."""
     words = table(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
     sizes = words.groupBy("item_id").agg(F.count("*").alias("n"))
     x, y = words.withColumnRenamed("item_id", "src"), words.withColumnRenamed("item_id", "dst")
     shared = x.join(y, "token").where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("both"))
     edges = shared.join(sizes.select(F.col("item_id").alias("src"), F.col("n").alias("n1")), "src").join(sizes.select(F.col("item_id").alias("dst"), F.col("n").alias("n2")), "dst")
-    return pagerank(edges.select("src", "dst", (F.col("both") / (F.col("n1") + F.col("n2"))).alias("weight")))
+    ranks = pagerank(edges.select("src", "dst", (F.col("both") / (F.col("n1") + F.col("n2"))).alias("weight")))
+    return ranks.select("node", round6("rank").alias("rank"))
 
 
 _ROUGE = f"SELECT doc_id, array_to_string(t[i:i + 1], ' ') AS g, count(*) AS c FROM (SELECT doc_id, t, unnest(range(1, len(t))) AS i FROM (SELECT doc_id, {_tokens('{0}')} AS t FROM documents)) GROUP BY ALL"

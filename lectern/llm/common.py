@@ -7,6 +7,7 @@ that tokenizing and hashing are whole-array numpy work inside Spark tasks.
 from __future__ import annotations
 
 import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,6 +27,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240229)
 _BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
+#: The folder of a local session that names none.
+_own_dir: list[str | None] = [None]
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -46,8 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own_dir[0] = _own_dir[0] or tempfile.mkdtemp(prefix="lectern-")
     return found
 
 
@@ -55,18 +57,46 @@ def save(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """Cut lineage: write a table in the shared folder and read it again."""
     bound_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    for made in _owned[-1:]:
+        made.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out
 
 
+#: Paths of the tables that the queries under way have saved, a list a query.
+_owned: list[list[str]] = []
+
+
+def owner(run: Callable) -> Callable:
+    """A query (spark, sf_dir) that leaves one table behind, its result: all others that it has saved are deleted once that is written."""
+
+    @functools.wraps(run)
+    def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _owned.append([])
+        try:
+            return save(spark, run(spark, sf_dir), "result")
+        finally:
+            made = _owned.pop()
+            result = made.pop() if made and "/result-" in made[-1] else None
+            for path in made:
+                _delete(spark, path)
+            if result and _owned:
+                _owned[-1].append(result)
+
+    return wrapped
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def discard(*saved: DataFrame) -> None:
     """Delete saved tables that nothing will read again; what was made of them must have been written."""
     for df in saved:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.saved_at)
 
 
 def quoted(names: list[str]) -> list[str]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import complete_groups, connected_components, discard, group_starts, in_task, local_roots, save, shuffle_width, table
+from lectern.llm.common import complete_groups, connected_components, discard, group_starts, in_task, local_roots, owner, save, shuffle_width, table
 
 RECALL = 0.998
 BLOCK = 1024
@@ -161,5 +161,6 @@ def link(embeddings: DataFrame, threshold: float = 0.95, recall: float = RECALL,
     )
 
 
+@owner
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "embeddings"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import complete_groups, discard, group_starts, in_task, mix, prefix_hash, save, shuffle_width, signed, slices, span_hash, table, text_bytes
+from lectern.llm.common import complete_groups, discard, group_starts, in_task, mix, owner, prefix_hash, save, shuffle_width, signed, slices, span_hash, table, text_bytes
 
 LENGTH = 400
 WINDOW = 180
@@ -280,6 +280,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     return joined.mapInArrow(in_task(strip), "row_id long, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+@owner
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("row_id", row_id())
     out = remove_repeats(documents)

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+#: The folder of a local session that names none.
+_own: list[str | None] = [None]
+
 
 def shared_folder(spark) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in a local session without it one folder of its own."""
@@ -14,8 +17,7 @@ def shared_folder(spark) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own[0] = _own[0] or tempfile.mkdtemp(prefix="lectern-")
     return found.rstrip("/")
 
 

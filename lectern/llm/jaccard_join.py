@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import complete_groups, connected_components, discard, group_starts, in_group, in_task, local_roots, lower_ascii, mix, prefix_hash, quoted, save, shuffle_width, signed, slices, span_hash, table, text_bytes, word_spans
+from lectern.llm.common import complete_groups, connected_components, discard, group_starts, in_group, in_task, local_roots, lower_ascii, mix, owner, prefix_hash, quoted, save, shuffle_width, signed, slices, span_hash, table, text_bytes, word_spans
 
 WORD = np.ones(256, bool)
 WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -374,5 +374,6 @@ def keep_first(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return documents.join(gone, "doc_id", "left_anti").select(*quoted(documents.columns))
 
 
+@owner
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import connected_components, discard, in_group, in_task, mix, prefix_hash, save, shuffle_width, signed, slices, span_hash, table, text_bytes
+from lectern.llm.common import connected_components, discard, in_group, in_task, mix, owner, prefix_hash, save, shuffle_width, signed, slices, span_hash, table, text_bytes
 
 THRESHOLD = 2
 MIN_BYTES = 30
@@ -395,6 +395,7 @@ def dedup_lines(documents: DataFrame, threshold: int = THRESHOLD, min_bytes: int
     return out.select(*[F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in documents.columns if c not in ADDED], *ADDED)
 
 
+@owner
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short_lines=True)
     return out.select("doc_id", "n_lines", "n_removed", "n_near", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import discard, held_out, in_task, save, slices, table, text_bytes
+from lectern.llm.common import discard, held_out, in_task, owner, save, slices, table, text_bytes
 
 QUANTILE = 0.99
 #: One in so many trusted documents is not counted, for the thresholds.
@@ -288,5 +288,6 @@ def classify(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE
     return joined.select("doc_id", "lang", "perplexity", limit.alias("threshold"), F.coalesce(F.col("perplexity") <= limit, F.lit(False)).alias("kept"))
 
 
+@owner
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

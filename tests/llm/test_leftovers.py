@@ -18,7 +18,7 @@ def shared(tmp_path, monkeypatch):
     return tmp_path
 
 
-@pytest.mark.parametrize("key", ["op2_suffix_dedup", "op4_decontamination", "op8_embedding_dedup", "op11_spelling_groups", "op12_hard_negatives", "op13_source_mix"])
+@pytest.mark.parametrize("key", ["op1_line_dedup", "op2_suffix_dedup", "op4_decontamination", "op5_quality", "op8_embedding_dedup", "op10_jaccard_join", "op11_spelling_groups", "op12_hard_negatives", "op13_source_mix"])
 def test_one_table_is_left(spark, shared, key):
     assert QUERIES[key](spark, SF).count() >= 0
     assert len(os.listdir(shared)) == 1

@@ -33,6 +33,9 @@ def cut(df: DataFrame) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete tables that cut() wrote and nothing will read again."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df.saved_at)
+
+
+def delete(spark, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -14,10 +14,10 @@ _SIDE = 8
 
 
 def pictures(spark, sf):
-    """(vec_id, pixels, box): gray levels, and the box around the pixels of three quarters of the brightest level or more."""
-    level = lambda e: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor(128 + 128 * e.cast("double")).cast("double"))) / 255.0
+    """(vec_id, pixels, box): gray levels, and the box around the pixels of nine tenths of the brightest level or more."""
+    level = lambda e: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor(128 + 384 * e.cast("double")).cast("double"))) / 255.0
     rows = table(spark, sf, "embeddings").where(F.size("embedding") == _SIDE * _SIDE).select("vec_id", F.transform("embedding", level).alias("pixels"))
-    bright = F.filter(F.sequence(F.lit(0), F.lit(_SIDE * _SIDE - 1)), lambda i: F.get("pixels", i) >= 0.75 * F.array_max("pixels"))
+    bright = F.filter(F.sequence(F.lit(0), F.lit(_SIDE * _SIDE - 1)), lambda i: F.get("pixels", i) >= 0.9 * F.array_max("pixels"))
     rows = rows.withColumn("i", bright)
     at = lambda f, how: how(F.transform("i", f))
     column, line = (lambda i: i % _SIDE), (lambda i: F.floor(i / _SIDE))
@@ -27,7 +27,7 @@ def pictures(spark, sf):
 
 
 _PICTURES = """pictures AS (SELECT vec_id, p, list_min(list_transform(b, lambda i: (i - 1) % 8)) / 8.0::DOUBLE AS x1, list_min(list_transform(b, lambda i: (i - 1) // 8)) / 8.0::DOUBLE AS y1, (list_max(list_transform(b, lambda i: (i - 1) % 8)) + 1) / 8.0::DOUBLE AS x2, (list_max(list_transform(b, lambda i: (i - 1) // 8)) + 1) / 8.0::DOUBLE AS y2
-    FROM (SELECT vec_id, p, list_filter(range(1, 65), lambda i: p[i] >= 0.75::DOUBLE * list_max(p)) AS b FROM (SELECT vec_id, list_transform(embedding, lambda e: least(255::DOUBLE, greatest(0::DOUBLE, floor(128 + 128 * e::DOUBLE))) / 255::DOUBLE) AS p FROM embeddings WHERE len(embedding) = 64)))"""
+    FROM (SELECT vec_id, p, list_filter(range(1, 65), lambda i: p[i] >= 0.9::DOUBLE * list_max(p)) AS b FROM (SELECT vec_id, list_transform(embedding, lambda e: least(255::DOUBLE, greatest(0::DOUBLE, floor(128 + 384 * e::DOUBLE))) / 255::DOUBLE) AS p FROM embeddings WHERE len(embedding) = 64)))"""
 
 
 @query(

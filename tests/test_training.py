@@ -30,7 +30,7 @@ def test_boxes_move_with_pixels(spark):
     rows = pictures(spark, SF).limit(40).select("vec_id", "box", R.flipped_pixels(F.col("pixels"), 8).alias("pixels"), R.flipped_box(F.col("box")).alias("moved"))
     for r in rows.collect():
         grid = np.array(r.pixels).reshape(8, 8)
-        ys, xs = np.nonzero(grid >= 0.75 * grid.max())
+        ys, xs = np.nonzero(grid >= 0.9 * grid.max())
         assert r.moved == [xs.min() / 8, ys.min() / 8, (xs.max() + 1 - xs.min()) / 8, (ys.max() + 1 - ys.min()) / 8]
     assert spark.range(1).select(R.flipped_pixels(F.array().cast("array<double>"), 8).alias("p")).first().p == []
 

@@ -246,3 +246,40 @@ def picture_metrics(pictures: DataFrame, key: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=[key, "sharp", "edge", "text", "entropy", "phash"])
 
     return pictures.select(key, "width", "pixels").mapInPandas(run, f"{key} long, sharp double, edge double, text double, entropy double, phash string")
+
+
+def away_from(mask: np.ndarray) -> np.ndarray:
+    """Each pixel's distance to the nearest set one (infinite without any): first along its column, then over columns further and further off while they can be nearer."""
+    if not mask.any():
+        return np.full(mask.shape, np.inf)
+    rows = np.arange(mask.shape[0], dtype=float)[:, None]
+    above = np.maximum.accumulate(np.where(mask, rows, -np.inf), 0)
+    below = np.minimum.accumulate(np.where(mask, rows, np.inf)[::-1], 0)[::-1]
+    column = np.minimum(rows - above, below - rows) ** 2
+    out = column.copy()
+    for step in range(1, mask.shape[1]):
+        if step * step >= out.max():
+            break
+        np.minimum(out[:, step:], column[:, :-step] + step * step, out=out[:, step:])
+        np.minimum(out[:, :-step], column[:, step:] + step * step, out=out[:, :-step])
+    return np.sqrt(out)
+
+
+def box_variances(gray: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> np.ndarray:
+    """Variance of the gray values in each box, borders included, from running sums: linear in pixels and boxes."""
+    total = lambda v: np.pad(v.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    g = gray.astype(np.int64)
+    within = lambda s: s[y1 + 1, x1 + 1] - s[y0, x1 + 1] - s[y1 + 1, x0] + s[y0, x0]
+    n = (x1 - x0 + 1) * (y1 - y0 + 1)
+    return (within(total(g * g)) - within(total(g)) ** 2 / n) / n
+
+
+def support(distances: np.ndarray, quad: np.ndarray, samples: int = 120, share: float = 0.7) -> list[float]:
+    """Of each side of a quad: how far its nearest points are from an edge, in the mean over the best `share` of the samples."""
+    h, w = distances.shape
+    out = []
+    for p, q in zip(quad, np.roll(quad, -1, 0)):
+        at = p + np.linspace(0.0, 1.0, samples)[:, None] * (q - p)
+        x, y = np.clip(np.round(at[:, 0]), 0, w - 1).astype(int), np.clip(np.round(at[:, 1]), 0, h - 1).astype(int)
+        out.append(float(np.sort(distances[y, x])[: max(1, int(samples * share))].mean()))
+    return out

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import catalog, format_queries, frame_queries, geometry_queries, keyframe_queries, lecture_queries, library_queries, markup_queries, note_queries, source_queries, summary_queries, table_queries, text_queries, training_queries  # noqa: F401
+from lectern.plans import catalog, format_queries, frame_queries, geometry_queries, keyframe_queries, lecture_queries, library_queries, markup_queries, note_queries, region_queries, source_queries, summary_queries, table_queries, text_queries, training_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

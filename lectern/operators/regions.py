@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,9 @@ AREA_WEIGHT, FILL_WEIGHT, ASPECT_WEIGHT, VARIANCE_WEIGHT, QUAD_BONUS = 2.5, 1.5,
 SIMPLE = 0.02
 SUPPORT_WEIGHT, SIZE_WEIGHT, OUTSIDE_WEIGHT, LEAST_QUAD, MOST_SIDES, SIDES_LOSS = 25.0, 2.0, 8.0, 0.05, 12.0, 1000.0
 
+#: Pixels whose regions a task holds before it passes them on (a larger picture is held alone).
+PIXELS = 1_000_000
+
 Mark = Callable[[np.ndarray], Iterable[tuple[str, np.ndarray]]]
 
 
@@ -42,42 +46,68 @@ def light_and_dark(gray: np.ndarray) -> list[tuple[str, np.ndarray]]:
     return [("light", above), ("dark", ~above)]
 
 
-def _reach(gray: np.ndarray, kind: str, mask: np.ndarray) -> list[dict]:
+def _reach(gray: np.ndarray, mask: np.ndarray, least: float) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """Of each region whose box has the least share of the picture: its fields, how many lines it has, and all lines' (y, x0, x1)."""
     y, x = np.nonzero(mask)
     if not len(y):
-        return []
+        return [np.zeros(0, np.int64)] * 7, np.zeros(0, np.int64), [np.zeros(0, np.int64)] * 3
     number = I.regions(mask)[y, x]
     order = np.lexsort((x, y, number))
     number, y, x = number[order], y[order], x[order]
     line = np.flatnonzero(np.append(True, (number[1:] != number[:-1]) | (y[1:] != y[:-1])))
     last = np.append(line[1:], len(y)) - 1
     first = np.flatnonzero(np.append(True, number[line][1:] != number[line][:-1]))
-    until = np.append(first[1:], len(line))
+    n_lines, n = np.diff(np.append(first, len(line))), np.diff(np.append(line[first], len(y)))
     x0, x1 = np.minimum.reduceat(x[line], first), np.maximum.reduceat(x[last], first)
-    y0, y1 = y[line[first]], y[line[until - 1]]
-    n = np.diff(np.append(line[first], len(y)))
-    spread = I.box_variances(gray, x0, y0, x1, y1)
-    lines = [{"y": int(a), "x0": int(b), "x1": int(c)} for a, b, c in zip(y[line], x[line], x[last])]
-    return [
-        {"kind": kind, "region": int(number[line[i]]), "pixels": int(n[k]), "x0": int(x0[k]), "y0": int(y0[k]), "x1": int(x1[k]), "y1": int(y1[k]), "variance": float(spread[k]), "lines": lines[i:j]}
-        for k, (i, j) in enumerate(zip(first, until))
-    ]
+    y0, y1 = y[line[first]], y[line[first + n_lines - 1]]
+    large = (x1 - x0 + 1) * (y1 - y0 + 1) >= least * gray.size
+    own = np.repeat(large, n_lines)
+    fields = [c[large] for c in (number[line[first]], n, x0, y0, x1, y1)]
+    return [*fields, I.box_variances(gray, *fields[2:]) if large.any() else np.zeros(0)], n_lines[large], [y[line][own], x[line][own], x[last][own]]
 
 
-def picture_regions(pictures: DataFrame, key: str, mark: Mark = light_and_dark) -> DataFrame:
-    """(key, width, height, pixels, regions) of each picture: all regions of the pixels that `mark` gives, kind by kind."""
+_LINE = pa.struct([("y", pa.int32()), ("x0", pa.int32()), ("x1", pa.int32())])
 
-    def run(parts):
-        for pdf in parts:
-            heights, found = [], []
-            for w, data in zip(pdf["width"], pdf["pixels"]):
-                gray = I.pixels(int(w), bytes(data)) if data is not None and len(data) else np.zeros((0, int(w)), np.uint8)
+
+def _listed(counts: Iterable[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), values)
+
+
+def picture_regions(pictures: DataFrame, key: str, mark: Mark = light_and_dark, least: float = 0.0) -> DataFrame:
+    """(key, width, height, pixels, regions) of each picture: all regions of the pixels that `mark` gives, kind by kind, whose boxes have the least share of it."""
+
+    def found(gray: np.ndarray) -> list[tuple]:
+        return [(kind, *_reach(gray, mask, least)) for kind, mask in (mark(gray) if gray.size else [])]
+
+    def packed(batch: pa.RecordBatch, heights: list[int], regions: list[list[tuple]]) -> pa.RecordBatch:
+        parts = [part for picture in regions for part in picture]
+        joined = lambda i, j, kind: pa.array(np.concatenate([np.zeros(0), *(p[i][j] for p in parts)]), kind)
+        lines = pa.StructArray.from_arrays([joined(3, j, pa.int32()) for j in range(3)], fields=list(_LINE))
+        n_lines = np.concatenate([np.zeros(0, np.int64), *(p[2] for p in parts)])
+        kinds = pa.array([p[0] for p in parts for _ in range(len(p[2]))], pa.string())
+        columns = [kinds, *(joined(1, j, t) for j, t in enumerate([pa.int64()] * 2 + [pa.int32()] * 4 + [pa.float64()])), _listed(n_lines, lines)]
+        rows = pa.StructArray.from_arrays(columns, names=["kind", "region", "pixels", "x0", "y0", "x1", "y1", "variance", "lines"])
+        of = _listed([sum(len(p[2]) for p in picture) for picture in regions], rows)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(heights, pa.int32()), batch.column(2), of], names=[key, "width", "height", "pixels", "regions"])
+
+    def run(batches):
+        for batch in batches:
+            begin, heights, regions, held = 0, [], [], 0
+            for i in range(batch.num_rows):
+                w, data = batch.column(1)[i].as_py(), batch.column(2)[i]
+                data = b"" if not data.is_valid else data.as_buffer()
+                gray = I.pixels(w, data) if len(data) else np.zeros((0, w), np.uint8)
                 heights.append(gray.shape[0])
-                found.append([r for kind, mask in (mark(gray) if gray.size else []) for r in _reach(gray, kind, mask)])
-            yield pd.DataFrame({key: pdf[key], "width": pdf["width"], "height": heights, "pixels": pdf["pixels"], "regions": found})
+                regions.append(found(gray))
+                held += gray.size
+                if held >= PIXELS:
+                    yield packed(batch.slice(begin, i + 1 - begin), heights, regions)
+                    begin, heights, regions, held = i + 1, [], [], 0
+            if heights:
+                yield packed(batch.slice(begin), heights, regions)
 
     kind = dict(pictures.select(key).dtypes)[key]
-    return pictures.select(key, F.col("width").cast("int").alias("width"), "pixels").mapInPandas(run, f"`{key}` {kind}, width int, height int, pixels binary, regions array<{REGION}>")
+    return pictures.select(key, F.col("width").cast("int").alias("width"), F.col("pixels").cast("binary").alias("pixels")).mapInArrow(run, f"`{key}` {kind}, width int, height int, pixels binary, regions array<{REGION}>")
 
 
 # --- shapes, from a region's lines ---------------------------------------------------------
@@ -173,11 +203,9 @@ def surfaces(pictures: DataFrame, key: str, mark: Mark = light_and_dark) -> Data
 
     A quad's fit is its size, less the distance of its sides from edges, less what lies outside and sides too unlike; ties: the first by kind and region.
     """
-    found = picture_regions(pictures, key, mark)
-    size = F.col("width") * F.col("height")
-    large = F.filter("regions", lambda r: ((r["x1"] - r["x0"] + 1) * (r["y1"] - r["y0"] + 1)).cast("double") / size >= LEAST_SHARE)
+    found = picture_regions(pictures, key, mark, LEAST_SHARE)
     # a region's hull, rectangle and quad are computed once each
-    ringed = F.transform(large, lambda r: F.struct(r.alias("r"), hull(r["lines"]).alias("ring")))
+    ringed = F.transform("regions", lambda r: F.struct(r.alias("r"), hull(r["lines"]).alias("ring")))
     framed = lambda s: F.struct(s["r"].alias("r"), s["ring"].alias("ring"), region_quad(s["ring"], smallest_rectangle(s["ring"])["corners"]).alias("q"))
 
     def candidate(s: Column) -> Column:

@@ -52,26 +52,37 @@ def thin(gx: np.ndarray, gy: np.ndarray) -> np.ndarray:
     return np.where(stays, force, 0.0)
 
 
+def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(y, x0, x1, region) of the unbroken stretches of set pixels, line by line: region is the first stretch, by number, of those that touch by side or corner.
+
+    Stretches of neighbouring lines meet by binary search; union-find goes over all meetings at once.
+    """
+    h, w = mask.shape
+    turns = np.diff(np.pad(mask, ((0, 0), (1, 1))).ravel().astype(np.int8))
+    # one column before and one behind each line, so that no stretch goes around a line's end
+    begin, end = np.flatnonzero(turns == 1) + 1, np.flatnonzero(turns == -1)
+    low, high = np.searchsorted(end, begin + (w + 2) - 1), np.searchsorted(begin, end + (w + 2) + 1, side="right")
+    n = high - low
+    a = np.repeat(np.arange(len(begin)), n)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    root = np.arange(len(begin))
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        # the larger root of each pair that is still apart points to the smallest one that it meets
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    return begin // (w + 2), begin % (w + 2) - 1, end % (w + 2) - 1, root
+
+
 def regions(mask: np.ndarray) -> np.ndarray:
-    """The number of each set pixel's region (the smallest place in it; -1 outside): pixels that touch by side or corner, joined by union-find over all pairs at once."""
-    number = np.arange(mask.size).reshape(mask.shape)
-    pairs = []
-    for here, there in ((np.s_[:, :-1], np.s_[:, 1:]), (np.s_[:-1], np.s_[1:]), (np.s_[:-1, :-1], np.s_[1:, 1:]), (np.s_[:-1, 1:], np.s_[1:, :-1])):
-        both = mask[here] & mask[there]
-        pairs.append((number[here][both], number[there][both]))
-    a, b = (np.concatenate(c) for c in zip(*pairs))
-    root = number.ravel()
-    while True:
-        low = np.minimum(root[a], root[b])
-        nxt = root.copy()
-        # the larger root of each pair points to the smaller one
-        np.minimum.at(nxt, root[a], low)
-        np.minimum.at(nxt, root[b], low)
-        while (nxt[nxt] != nxt).any():
-            nxt = nxt[nxt]
-        if (nxt == root).all():
-            return np.where(mask, root.reshape(mask.shape), -1)
-        root = nxt
+    """The number of each set pixel's region (the smallest place in it; -1 outside): pixels that touch by side or corner."""
+    y, x0, x1, root = runs(mask)
+    out = np.full(mask.shape, -1)
+    out[mask] = np.repeat((y * mask.shape[1] + x0)[root], x1 - x0 + 1)
+    return out
 
 
 def edges(gray: np.ndarray, low: float = 60.0, high: float = 160.0) -> np.ndarray:
@@ -82,8 +93,10 @@ def edges(gray: np.ndarray, low: float = 60.0, high: float = 160.0) -> np.ndarra
     return (region >= 0) & np.isin(region, strong)
 
 
-def edge_density(gray: np.ndarray, low: float = 60.0, high: float = 160.0) -> float:
-    return float(edges(gray, low, high).mean())
+def edge_density(gray: np.ndarray, threshold: float = 140.0) -> float:
+    """Share of pixels with a strong gradient, whether their edge is thin or not."""
+    gx, gy = gradients(gray)
+    return float((np.abs(gx) + np.abs(gy) > threshold).mean())
 
 
 def entropy(gray: np.ndarray) -> float:
@@ -242,7 +255,7 @@ def picture_metrics(pictures: DataFrame, key: str) -> DataFrame:
             rows = []
             for k, w, data in zip(pdf[key], pdf["width"], pdf["pixels"]):
                 g = blurred(pixels(int(w), bytes(data)))
-                rows.append((k, sharpness(g), edge_density(g), textness(g), entropy(g), perceptual_hash(g)))
+                rows.append((k, sharpness(g), float(edges(g).mean()), textness(g), entropy(g), perceptual_hash(g)))
             yield pd.DataFrame(rows, columns=[key, "sharp", "edge", "text", "entropy", "phash"])
 
     return pictures.select(key, "width", "pixels").mapInPandas(run, f"{key} long, sharp double, edge double, text double, entropy double, phash string")

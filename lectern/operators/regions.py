@@ -48,22 +48,22 @@ def light_and_dark(gray: np.ndarray) -> list[tuple[str, np.ndarray]]:
 
 def _reach(gray: np.ndarray, mask: np.ndarray, least: float) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
     """Of each region whose box has the least share of the picture: its fields, how many lines it has, and all lines' (y, x0, x1)."""
-    y, x = np.nonzero(mask)
+    y, start, end, region = I.runs(mask)
     if not len(y):
         return [np.zeros(0, np.int64)] * 7, np.zeros(0, np.int64), [np.zeros(0, np.int64)] * 3
-    number = I.regions(mask)[y, x]
-    order = np.lexsort((x, y, number))
-    number, y, x = number[order], y[order], x[order]
-    line = np.flatnonzero(np.append(True, (number[1:] != number[:-1]) | (y[1:] != y[:-1])))
+    place = y * gray.shape[1] + start
+    order = np.argsort(region, kind="stable")
+    region, y, start, end = region[order], y[order], start[order], end[order]
+    line = np.flatnonzero(np.append(True, (region[1:] != region[:-1]) | (y[1:] != y[:-1])))
     last = np.append(line[1:], len(y)) - 1
-    first = np.flatnonzero(np.append(True, number[line][1:] != number[line][:-1]))
-    n_lines, n = np.diff(np.append(first, len(line))), np.diff(np.append(line[first], len(y)))
-    x0, x1 = np.minimum.reduceat(x[line], first), np.maximum.reduceat(x[last], first)
+    first = np.flatnonzero(np.append(True, region[line][1:] != region[line][:-1]))
+    n_lines, n = np.diff(np.append(first, len(line))), np.add.reduceat(end - start + 1, line[first])
+    x0, x1 = np.minimum.reduceat(start[line], first), np.maximum.reduceat(end[last], first)
     y0, y1 = y[line[first]], y[line[first + n_lines - 1]]
     large = (x1 - x0 + 1) * (y1 - y0 + 1) >= least * gray.size
     own = np.repeat(large, n_lines)
-    fields = [c[large] for c in (number[line[first]], n, x0, y0, x1, y1)]
-    return [*fields, I.box_variances(gray, *fields[2:]) if large.any() else np.zeros(0)], n_lines[large], [y[line][own], x[line][own], x[last][own]]
+    fields = [c[large] for c in (place[region[line[first]]], n, x0, y0, x1, y1)]
+    return [*fields, I.box_variances(gray, *fields[2:]) if large.any() else np.zeros(0)], n_lines[large], [y[line][own], start[line][own], end[last][own]]
 
 
 _LINE = pa.struct([("y", pa.int32()), ("x0", pa.int32()), ("x1", pa.int32())])

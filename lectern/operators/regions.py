@@ -215,7 +215,8 @@ def surfaces(pictures: DataFrame, key: str, mark: Mark = light_and_dark) -> Data
         return F.struct(r["kind"].alias("kind"), r["region"].alias("region"), s["q"]["quad"].alias("quad"), region_score(r, F.col("width"), F.col("height"), fill, s["q"]["simple"]).alias("score"))
 
     rows = found.withColumn("c", ringed).withColumn("c", F.transform("c", framed)).withColumn("c", F.filter(F.transform("c", candidate), lambda c: c["score"].isNotNull() & c["quad"].isNotNull()))
-    held = _supported(rows.select(key, "width", "height", "pixels", "c"), key)
+    # pictures without candidates needn't travel again
+    held = _supported(rows.select(key, "width", "height", F.when(F.size("c") > 0, F.col("pixels")).alias("pixels"), "c"), key)
     fit = F.transform(F.arrays_zip("c", "off"), lambda z: F.struct((-quad_fit(z["c"]["quad"], z["off"], F.col("width"), F.col("height"))).alias("loss"), *[z["c"][n].alias(n) for n in ("kind", "region", "quad", "score")]))
     best = held.withColumn("b", F.array_min(F.filter(fit, lambda x: x["loss"].isNotNull())))
     return best.select(key, *[F.col("b")[n].alias(n) for n in ("kind", "region", "quad", "score")], (-F.col("b")["loss"]).alias("fit"))

@@ -28,7 +28,7 @@ def test_the_limit_is_one():
     assert abs(LOW + 100 - LOW) > 100 and abs((100 + (LOW + 100)) - (100 + LOW)) == 100
 
 
-@pytest.mark.parametrize("key", ["win_contained_last", "seq_keyframe_chain"])
+@pytest.mark.parametrize("key", ["win_contained_last", "seq_keyframe_chain", "seq_ablation_grid"])
 def test_shift_at_its_limit(spark, at_limit, key):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions.maths import round6
-from lectern.operators.ranking import pagerank_by
+from lectern.operators import whole as W
 
 
 def sentence_rows(documents: DataFrame) -> DataFrame:
@@ -42,35 +42,18 @@ def luhn(sentences: DataFrame, gap: int = 4, least: int = 2) -> DataFrame:
     return sentences.select("doc_id", "i").join(best, ["doc_id", "i"], "left").select("doc_id", "i", round6(F.coalesce("score", F.lit(0.0))).alias("score"))
 
 
-def _edges(words: DataFrame, weight) -> DataFrame:
-    """(doc_id, src, dst, weight) of sentences of one document that share a token; words: (doc_id, i, token, x), weight from sum of products, and both sentences' n."""
-    a, b = words.select("doc_id", F.col("i").alias("src"), "token", "x"), words.select("doc_id", F.col("i").alias("dst"), "token", F.col("x").alias("y"))
-    both = a.join(b, ["doc_id", "token"]).where("src <> dst").groupBy("doc_id", "src", "dst").agg(F.sum(F.col("x") * F.col("y")).alias("both"))
-    n = words.groupBy("doc_id", "i").agg(F.sum(F.col("x") * F.col("x")).alias("n"))
-    side = lambda name: n.select("doc_id", F.col("i").alias(name), F.col("n").alias(f"n_{name}"))
-    j = both.join(side("src"), ["doc_id", "src"]).join(side("dst"), ["doc_id", "dst"])
-    return j.select("doc_id", "src", "dst", weight.alias("weight")).where("weight > 0")
-
-
-def _ranked(sentences: DataFrame, edges: DataFrame) -> DataFrame:
-    rank = pagerank_by(edges, "doc_id").withColumnRenamed("node", "i")
-    return sentences.select("doc_id", "i").join(rank, ["doc_id", "i"], "left").select("doc_id", "i", round6(F.coalesce("rank", F.lit(0.0))).alias("score"))
+def _scores(sentences: DataFrame, ranks) -> DataFrame:
+    return W.by_document(W.gathered(sentences), lambda doc: [(doc.doc_id, i, x) for i, x in enumerate(ranks(doc))], "doc_id long, i long, score double")
 
 
 def text_rank(sentences: DataFrame) -> DataFrame:
-    """Rank in the graph of sentences, weighted by the words that two share over the words that they have."""
-    words = sentences.select("doc_id", "i", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token")).withColumn("x", F.lit(1.0))
-    return _ranked(sentences, _edges(words, F.col("both") / (F.col("n_src") + F.col("n_dst"))))
+    """Rank in the graph of sentences, weighted by the words that two share over the words that they have. A document's i count from 0."""
+    return _scores(sentences, W.text_ranks)
 
 
 def lex_rank(sentences: DataFrame, least: float = 0.1) -> DataFrame:
-    """Rank in the graph of sentences whose cosine by term and inverse sentence frequency is above a threshold."""
-    tf = sentences.select("doc_id", "i", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "i", "token").agg(F.count("*").alias("tf"))
-    n = sentences.groupBy("doc_id").agg(F.count("*").alias("all"))
-    df = tf.groupBy("doc_id", "token").agg(F.count("*").alias("df")).join(n, "doc_id")
-    words = tf.join(df, ["doc_id", "token"]).select("doc_id", "i", "token", (F.col("tf") * (F.log(F.col("all") / F.col("df")) + 1)).alias("x"))
-    like = F.col("both") / F.sqrt(F.col("n_src") * F.col("n_dst"))
-    return _ranked(sentences, _edges(words, F.when(like > least, F.lit(1.0)).otherwise(0.0)))
+    """Rank in the graph of sentences whose cosine by term and inverse sentence frequency is above a threshold. A document's i count from 0."""
+    return _scores(sentences, lambda doc: W.lex_ranks(doc, least))
 
 
 def topic_strength(counts: np.ndarray, topics: int = 3) -> np.ndarray:
@@ -116,13 +99,23 @@ def rouge2(summaries: DataFrame) -> DataFrame:
     return j.select("doc_id", "target", "prediction", round6(p).alias("precision"), round6(r).alias("recall"), round6(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)).alias("f"))
 
 
-def common_length(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence: one row of numbers, a column of b at a time."""
-    ids = {w: k for k, w in enumerate(dict.fromkeys([*a, *b]))}
-    x, row = np.array([ids[w] for w in a], np.int64), np.zeros(len(a) + 1, np.int64)
+def common_length(a: list, b: list) -> int:
+    """Length of the longest common subsequence: a row of the table is one number, of as many bits as a has words."""
+    at, full = {}, (1 << len(a)) - 1
+    for k, w in enumerate(a):
+        at[w] = at.get(w, 0) | 1 << k
+    row = full
     for w in b:
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (x == ids[w])))
-    return int(row[-1])
+        if found := row & at.get(w, 0):
+            row = (row + found | row - found) & full
+    return len(a) - row.bit_count()
+
+
+def scores_l(a: list, b: list) -> tuple[float, float, float]:
+    """Precision, recall and f of b against a by their longest common subsequence."""
+    k = common_length(a, b)
+    p, r = k / max(len(b), 1), k / max(len(a), 1)
+    return tuple(np.round([p, r, 2 * p * r / (p + r) if p + r > 0 else 0.0], 6).tolist())
 
 
 def rouge_l(pairs: DataFrame) -> DataFrame:
@@ -130,10 +123,7 @@ def rouge_l(pairs: DataFrame) -> DataFrame:
 
     def run(parts):
         for pdf in parts:
-            n = [common_length(list(a), list(b)) for a, b in zip(pdf["a"], pdf["b"])]
-            p = np.array([k / max(len(b), 1) for k, b in zip(n, pdf["b"])])
-            r = np.array([k / max(len(a), 1) for k, a in zip(n, pdf["a"])])
-            f = np.divide(2 * p * r, p + r, out=np.zeros(len(n)), where=p + r > 0)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "target": pdf["target"], "prediction": pdf["prediction"], "precision": p.round(6), "recall": r.round(6), "f": f.round(6)})
+            scores = np.array([scores_l(list(a), list(b)) for a, b in zip(pdf["a"], pdf["b"])]).reshape(-1, 3)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "target": pdf["target"], "prediction": pdf["prediction"], "precision": scores[:, 0], "recall": scores[:, 1], "f": scores[:, 2]})
 
     return pairs.select("doc_id", "target", "prediction", "a", "b").mapInPandas(run, "doc_id long, target string, prediction string, precision double, recall double, f double")

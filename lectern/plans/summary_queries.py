@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import maths as M
 from lectern.functions import text as T
 from lectern.operators import summaries as S
+from lectern.operators import whole as W
 from lectern.operators.cut import cut
 from lectern.plans.catalog import query, spread, table
 from lectern.plans.geometry_queries import r6, steady, steady_sql
@@ -25,6 +26,15 @@ def sentences(spark, sf) -> DataFrame:
     return S.sentence_rows(spread(table(spark, sf, "documents").select("doc_id", "text")))
 
 
+def whole(spark, sf) -> DataFrame:
+    """The documents with their sentences and tokens, each on its own row."""
+    return W.texts(spread(table(spark, sf, "documents").select("doc_id", "text")))
+
+
+def _half_by(spark, sf, scores) -> DataFrame:
+    return W.by_document(whole(spark, sf), lambda doc: [(doc.doc_id, *r) for r in W.better_half(scores(doc))], "doc_id long, i long, score double, place long")
+
+
 @query("txt_luhn", f"WITH {_SENTS}, {_LUHN} {_HALF.format('luhn')}")
 def txt_luhn(spark, sf):
     """The better half of each document's sentences by clusters of significant words."""
@@ -49,15 +59,13 @@ def _rank_sql(words: str, weight: str) -> str:
 @query("txt_text_rank", _rank_sql(_TEXT_WORDS, "both_ / (s.n + d.n)"))
 def txt_text_rank(spark, sf):
     """The better half of the sentences by their rank among those that share words."""
-    s = cut(sentences(spark, sf))
-    return S.better_half(S.text_rank(s))
+    return _half_by(spark, sf, W.text_ranks)
 
 
 @query("txt_lex_rank", _rank_sql(_LEX_WORDS, "CASE WHEN both_ / sqrt(s.n * d.n) > 0.1::DOUBLE THEN 1.0::DOUBLE ELSE 0 END"))
 def txt_lex_rank(spark, sf):
     """The same over sentences alike by weighted cosine."""
-    s = cut(sentences(spark, sf))
-    return S.better_half(S.lex_rank(s))
+    return _half_by(spark, sf, W.lex_ranks)
 
 
 @query("txt_latent")
@@ -71,32 +79,15 @@ _FREQ = f"""fw AS (SELECT doc_id, i, unnest({_WORDS}) AS word FROM sents), ff AS
     freq AS (SELECT s.doc_id, s.i, s.text, v.score FROM sents s JOIN (SELECT *, sum(score) OVER (PARTITION BY doc_id)::BIGINT // count(*) OVER (PARTITION BY doc_id) AS average FROM fv) v ON v.doc_id = s.doc_id AND v.i = s.i WHERE v.score > 1.5 * average OR len(list_filter({_WORDS.replace('text', 's.text')}, lambda w: length(w) >= 12)) > 0)"""
 
 
-def by_frequency(s: DataFrame, entities) -> DataFrame:
-    """Sentences that score above one and a half times the average by the frequency of their words, or hold an entity (a test of a word)."""
-    words = s.select("doc_id", "i", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("word"))
-    local = words.groupBy("doc_id", "i", "word").agg(F.count("*").alias("c"))
-    n = local.groupBy("doc_id", "word").agg(F.sum("c").alias("n"))
-    v = local.join(n, ["doc_id", "word"]).groupBy("doc_id", "i").agg(F.sum(F.col("n") * F.col("c")).alias("score"), F.max(entities(F.col("word"))).alias("named"))
-    d = Window.partitionBy("doc_id")
-    v = v.withColumn("average", F.floor(F.sum("score").over(d) / F.count("*").over(d))).where("score > 1.5 * average OR named")
-    return s.join(v.select("doc_id", "i", "score"), ["doc_id", "i"])
+def _named(word: str) -> bool:
+    """The entities here: words of twelve letters or more."""
+    return len(word) >= 12
 
 
 @query("txt_frequency_summary", f"WITH {_SENTS}, {_FREQ} SELECT doc_id, i, score FROM freq")
 def txt_frequency_summary(spark, sf):
     """A summary by word frequency that keeps every sentence with an entity (here: a word of twelve letters or more)."""
-    return by_frequency(sentences(spark, sf), lambda w: F.length(w) >= 12).select("doc_id", "i", "score")
-
-
-def _methods(spark, sf) -> DataFrame:
-    """(doc_id, method, text) of three summaries of each document."""
-    s = cut(sentences(spark, sf))
-    half = S.better_half(S.luhn(s)).select("doc_id", "i").join(s, ["doc_id", "i"])
-    lead = s.withColumn("n", F.count("*").over(Window.partitionBy("doc_id"))).where("i < ceil(n / 2.0)")
-    freq = by_frequency(s, lambda w: F.length(w) >= 12)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda r: r.text), " ")
-    one = lambda df, name: df.groupBy("doc_id").agg(text.alias("text")).select("doc_id", F.lit(name).alias("method"), "text")
-    return one(half, "luhn").unionByName(one(lead, "lead")).unionByName(one(freq, "frequency"))
+    return W.by_document(whole(spark, sf), lambda doc: [(doc.doc_id, *r) for r in W.by_frequency(doc, _named)], "doc_id long, i long, score long")
 
 
 _METHODS = f"""half AS ({_HALF.format('luhn')}), ms AS (SELECT h.doc_id, 'luhn' AS method, string_agg(text, ' ' ORDER BY h.i) AS text FROM half h JOIN sents s ON s.doc_id = h.doc_id AND s.i = h.i GROUP BY h.doc_id UNION ALL SELECT doc_id, 'lead', string_agg(text, ' ' ORDER BY i) FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM sents) WHERE i < ceil(n / 2.0) GROUP BY doc_id UNION ALL SELECT doc_id, 'frequency', string_agg(text, ' ' ORDER BY i) FROM freq GROUP BY doc_id),
@@ -111,15 +102,19 @@ _METHODS = f"""half AS ({_HALF.format('luhn')}), ms AS (SELECT h.doc_id, 'luhn'
 )
 def txt_rouge_matrix(spark, sf):
     """Shared bigrams of three summaries of each document, all against all."""
-    return S.rouge2(_methods(spark, sf))
+    run = lambda doc: [(doc.doc_id, *r) for r in W.rouge_2(W.summary_tokens(doc, _named))]
+    return W.by_document(whole(spark, sf), run, "doc_id long, target string, prediction string, precision double, recall double, f double")
 
 
 @query("txt_rouge_l")
 def txt_rouge_l(spark, sf):
     """Longest common subsequences of two summaries of each document: no SQL, tested against a plain version."""
-    m = _methods(spark, sf).select("doc_id", "method", T.tokens(F.col("text")).alias("t"))
-    a, b = m.where("method = 'luhn'").select("doc_id", F.col("method").alias("target"), F.col("t").alias("a")), m.where("method = 'frequency'").select("doc_id", F.col("method").alias("prediction"), F.col("t").alias("b"))
-    return S.rouge_l(a.join(b, "doc_id"))
+
+    def run(doc):
+        t = W.summary_tokens(doc, _named)
+        return [(doc.doc_id, "luhn", "frequency", *S.scores_l(t["luhn"], t["frequency"]))] if "frequency" in t else []
+
+    return W.by_document(whole(spark, sf), run, "doc_id long, target string, prediction string, precision double, recall double, f double")
 
 
 @query(

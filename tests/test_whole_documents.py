@@ -42,7 +42,7 @@ def same_as_sql(spark, folder, key):
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
 
 
-SUMMARIES = ["txt_text_rank", "txt_rouge_matrix", "txt_rouge_l"]
+SUMMARIES = ["txt_text_rank", "txt_rouge_matrix", "txt_rouge_l", "txt_frequency_summary"]
 
 
 @pytest.mark.parametrize("key", SUMMARIES)

@@ -235,7 +235,7 @@ def pick_frames(rows: list[dict], limit: int, weak: float = 0.22, alike: float =
     for r in rows:
         if len(out) >= limit:
             break
-        own = _bag(r["text"])
+        own = r["bag"] if "bag" in r else _bag(r["text"])
         if (out and r["score"] < weak) or any(abs(r["t"] - q["t"]) <= near and _cos(own, bag_) >= alike for q, bag_ in out):
             continue
         out.append((r, own))

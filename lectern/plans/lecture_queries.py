@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.functions.maths import round6
 from lectern.operators import lecture as L
+from lectern.operators import whole as W
 from lectern.operators.cut import cut
 from lectern.operators.sequence import pack_windows
-from lectern.plans.catalog import query, table
+from lectern.plans.catalog import query, spread, table
 from lectern.plans.geometry_queries import r6
 from lectern.plans.table_queries import _ITEMS, items
 from lectern.plans.text_queries import _clean, _strip, _tokens
@@ -46,6 +47,12 @@ def _windows(spark, sf) -> tuple[DataFrame, DataFrame]:
     return rows, pack_windows(rows, with_text=True)
 
 
+def _by_lecture(spark, sf, run, schema: str) -> DataFrame:
+    """(doc_id, schema): what run gives for each document as a lecture, on the document's own row."""
+    rows = W.texts(spread(table(spark, sf, "documents").select("doc_id", "text")))
+    return W.by_document(rows, lambda doc: [(doc.doc_id, *r) for r in run(doc)], f"doc_id long, {schema}")
+
+
 @query(
     "seq_plan_membership",
     f"WITH RECURSIVE {_TEXTS}, {_WALK}, {_WORDS}, {_PLAN}, {_RATED} SELECT *, confidence < 0.45 OR margin < 0.15 AS ambiguous FROM (SELECT doc_id, win, max(section) FILTER (rn = 1)::INT AS best, {r6('max(p)')} AS confidence, {r6('max(p) - coalesce(max(p) FILTER (rn = 2), 0)')} AS margin FROM probs GROUP BY doc_id, win)",
@@ -65,52 +72,57 @@ def seq_plan_membership(spark, sf):
 )
 def win_window_boundaries(spark, sf):
     """How good a place to cut the end of each window is: unlike words on both sides, or an opening cue."""
-    rows, w = _windows(spark, sf)
-    return L.boundary_scores(cut(w), rows).select("doc_id", "win", "last", "score")
+    return _by_lecture(spark, sf, lambda doc: W.boundaries(doc, W.packed(doc)), "win long, last long, score double")
 
 
-def _classified(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows, w = _windows(spark, sf)
-    plan = cut(L.fallback_plan(rows))
-    return rows, plan, cut(L.classify(rows, w.select("doc_id", "first"), plan))
+def _ranges(ranges) -> list[tuple]:
+    return [(k + 1, *r) for k, r in enumerate(ranges)]
+
+
+def _rated(doc) -> tuple[W.Rating, list, list]:
+    sections = W.plan(doc)
+    rate = W.Rating(doc, sections)
+    return rate, sections, W.classified(doc, W.packed(doc), rate)
 
 
 @query("seq_recursive_split")
 def seq_recursive_split(spark, sf):
     """Windows with ambiguous ones cut again and again: no SQL for cuts that depend on ratings of the cut parts, tested against a plain version."""
-    return _classified(spark, sf)[2].select("doc_id", "win", "last", "best", "confidence", "margin", "ambiguous")
+
+    def run(doc):
+        rate, _, windows = _rated(doc)
+        return [(first, last, *rate(first, last)[:4]) for first, last in windows]
+
+    return _by_lecture(spark, sf, run, "win long, last long, best int, confidence double, margin double, ambiguous boolean")
 
 
 @query("seq_segments")
 def seq_segments(spark, sf):
     """A lecture's segments in the order of its plan: no SQL, tested against a plain version."""
-    rows, plan, classified = _classified(spark, sf)
-    return L.build_segments(rows, classified, plan).select("doc_id", "seg", "first", "last", "section", "title")
+
+    def run(doc):
+        rate, sections, windows = _rated(doc)
+        return _ranges(W.segments(doc, windows, rate, sections))
+
+    return _by_lecture(spark, sf, run, "seg long, first long, last long, section int, title string")
 
 
 @query("seq_rough_segments")
 def seq_rough_segments(spark, sf):
     """Segments without a plan, cut where words change: no SQL for choices that depend on each other, tested against a plain version."""
-    rows, w = _windows(spark, sf)
-    return L.rough_segments(rows, cut(w)).select("doc_id", "seg", "first", "last")
+    return _by_lecture(spark, sf, lambda doc: _ranges(W.rough(doc, W.packed(doc))), "seg long, first long, last long")
 
 
 @query("seq_refined_segments")
 def seq_refined_segments(spark, sf):
     """Rough segments with each boundary moved to the end of a window near twenty seconds later, if none gets short: no SQL, tested against a plain version."""
-    rows, w = _windows(spark, sf)
-    w = cut(w)
-    rough = cut(L.rough_segments(rows, w))
-    later = lambda bounds: bounds.select("doc_id", "seg", (F.col("time") + 20).alias("chosen"))
-    return L.refine_boundaries(rows, rough, w, later).select("doc_id", "seg", "first", "last")
+    return _by_lecture(spark, sf, lambda doc: _ranges(W.refined(doc, W.packed(doc), later=20)), "seg long, first long, last long")
 
 
 @query("jn_frames_to_segments")
 def jn_frames_to_segments(spark, sf):
     """The frames (here sentences, as if read from slides) that each window shows: no SQL for the diverse choice, tested against a plain version."""
-    rows, w = _windows(spark, sf)
-    frames = rows.select("doc_id", F.col("i").alias("frame"), F.col("a").alias("t"), "text")
-    return L.attach_frames(cut(w.select("doc_id", F.col("win").alias("seg"), "start", "fin", "text")), frames)
+    return _by_lecture(spark, sf, lambda doc: W.frames(doc, W.packed(doc)), "seg long, frame long, place long, score double, mode string")
 
 
 _CHUNKS = f"chunks AS (SELECT doc_id, i // 60 AS idx, array_to_string(t[i + 1 : i + 60], ' ') AS txt, ((len(t) - 1) // 60)::BIGINT AS top FROM (SELECT doc_id, t, unnest(range(0, len(t), 60)) AS i FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents) WHERE len(t) > 0))"

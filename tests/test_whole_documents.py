@@ -8,10 +8,14 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_oracle import rows
 
 from lectern import registry
+from lectern.operators import lecture as L
 from lectern.operators import whole as W
+from lectern.operators.sequence import pack_windows
+from lectern.plans import lecture_queries as plans
 
 WORDS = "alpha beta gamma delta epsilon internationalisation zeta eta theta iota kappa lambda".split()
 
@@ -45,7 +49,10 @@ def same_as_sql(spark, folder, key):
 SUMMARIES = ["txt_text_rank", "txt_rouge_matrix", "txt_rouge_l", "txt_frequency_summary"]
 
 
-@pytest.mark.parametrize("key", SUMMARIES)
+LECTURES = ["seq_refined_segments"]
+
+
+@pytest.mark.parametrize("key", SUMMARIES + LECTURES)
 def test_nothing_is_shuffled(spark, folder, key):
     """Each of these wrote words or pairs of sentences many times the size of the texts; a scan of enough partitions now goes straight through."""
     df = registry.queries()[key](spark, folder)
@@ -62,3 +69,25 @@ def test_long_documents_rank_the_same_by_stretches(monkeypatch):
     monkeypatch.setattr(W, "KEPT", 0)
     monkeypatch.setattr(W, "STRETCH", 120)
     assert np.allclose(W.text_ranks(doc), text, atol=2e-6) and np.allclose(W.lex_ranks(doc), lex, atol=2e-6)
+
+
+def test_a_lecture_as_a_whole_row_equals_rows(spark, folder):
+    """Plans, splits, segments, refinement and frames against the operators over rows."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id IN (1, 3, 4, 8)")
+    items = plans.lecture_items(spark, folder).join(docs.select("doc_id"), "doc_id", "left_semi").persist()
+    windows = pack_windows(items, with_text=True).persist()
+    plan = L.fallback_plan(items).persist()
+    split = L.classify(items, windows.select("doc_id", "first"), plan).persist()
+    rough = L.rough_segments(items, windows).persist()
+    frames = items.select("doc_id", F.col("i").alias("frame"), F.col("a").alias("t"), "text")
+    later = lambda bounds: bounds.select("doc_id", "seg", (F.col("time") + 20).alias("chosen"))
+    want = {
+        "seq_recursive_split": split,
+        "seq_segments": L.build_segments(items, split, plan),
+        "seq_rough_segments": rough,
+        "seq_refined_segments": L.refine_boundaries(items, rough, windows, later),
+        "jn_frames_to_segments": L.attach_frames(windows.select("doc_id", F.col("win").alias("seg"), "start", "fin", "text"), frames),
+    }
+    for key, df in want.items():
+        got = registry.queries()[key](spark, folder).where("doc_id IN (1, 3, 4, 8)")
+        assert rows(got.columns, got.collect()) == rows(got.columns, df.select(*got.columns).collect()), key

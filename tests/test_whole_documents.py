@@ -49,7 +49,7 @@ def same_as_sql(spark, folder, key):
 SUMMARIES = ["txt_text_rank", "txt_rouge_matrix", "txt_rouge_l", "txt_frequency_summary"]
 
 
-LECTURES = ["seq_refined_segments", "seq_recursive_split", "seq_segments", "jn_frames_to_segments", "win_window_boundaries"]
+LECTURES = ["seq_refined_segments", "seq_recursive_split", "seq_segments", "jn_frames_to_segments", "win_window_boundaries", "seq_rough_segments"]
 
 
 @pytest.mark.parametrize("key", SUMMARIES + LECTURES)

@@ -65,7 +65,7 @@ def test_long_documents_rank_the_same_by_stretches(monkeypatch):
     r = random.Random(3)
     tokens = [[r.randrange(30) for _ in range(r.randint(0, 9))] for _ in range(50)]
     codes = W.Codes()
-    doc = W.Document(1, ["x"] * 50, codes, [[codes[str(t)] for t in ts] for ts in tokens])
+    doc = W.Document(1, ["x"] * 50, codes, [[codes[f"w{t}"] for t in ts] for ts in tokens])
     text, lex = W.text_ranks(doc), W.lex_ranks(doc)
     monkeypatch.setattr(W, "KEPT", 0)
     monkeypatch.setattr(W, "STRETCH", 120)
